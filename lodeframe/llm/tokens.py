@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import Scratch, map_rows
 
 #: Fixed values of the vocabulary: its one special token.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
@@ -21,22 +27,25 @@ def _fast(ranks_path: str, pattern: str):  # noqa: ANN202
 
 
 @cache
-def _plain(path: str):  # noqa: ANN202
+def _plain(path: str, special: bool):  # noqa: ANN202
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    made = Tokenizer.from_file(path)
+    made.encode_special_tokens = not special
+    return made
 
 
 @cache
-def encoder(path: str | None = None, ranks_path: str | None = None):  # noqa: ANN201
+def encoder(path: str | None = None, ranks_path: str | None = None, special: bool = True):  # noqa: ANN201
     """text -> ids (uint32), as the tokenizer file gives them without added special tokens.
 
     The same vocabulary as a table of ranks encodes five times faster; the
     tokenizer file itself takes over for texts which that encoder gives up on.
-    The special token's string, where a text contains it, is its id.
+    The special token's string, where a text contains it, is its id, or ordinary
+    text if ``special`` is false.
     """
     import public_tokenizers as public
 
@@ -44,7 +53,7 @@ def encoder(path: str | None = None, ranks_path: str | None = None):  # noqa: AN
 
     def encode(text: str) -> np.ndarray:
         try:
-            if SPECIAL not in text:
+            if not special or SPECIAL not in text:
                 return np.asarray(fast.encode_ordinary(text), np.uint32)
             parts: list[int] = []
             for k, part in enumerate(text.split(SPECIAL)):
@@ -53,6 +62,102 @@ def encoder(path: str | None = None, ranks_path: str | None = None):  # noqa: AN
         except BaseException as e:  # noqa: BLE001  its panics aren't Exceptions
             if isinstance(e, KeyboardInterrupt | SystemExit | MemoryError):
                 raise
-            return np.asarray(_plain(pattern).encode(text, add_special_tokens=False).ids, np.uint32)
+            return np.asarray(_plain(pattern, special).encode(text, add_special_tokens=False).ids, np.uint32)
 
     return encode
+
+
+#: Token files: little-endian unsigned 16-bit ids, each document closed by ``END``, nothing else.
+DTYPE, END = "<u2", SPECIAL_ID
+SEPARATOR = int(END).to_bytes(2, "little").decode("latin-1")
+
+
+def write_token_files(docs: DataFrame, path: str) -> None:
+    """Flat token files under ``path``/kind=tokens, and beside them under kind=ids which documents they hold, in order.
+
+    One pass: each task writes its documents' ids into a file of its own, and
+    Spark's text writer, given the separator's bytes as the line end, puts the
+    separators in.  So files can go to any store that Spark writes to, and a
+    task that is run again replaces its file.
+    """
+
+    def encode(rows: list) -> Iterator[tuple]:
+        ids_of = encoder(special=False)
+        for doc_id, at, text in rows:
+            yield "tokens", at, ids_of(text or "").astype(DTYPE).tobytes()
+            yield "ids", at, (b"" if doc_id is None else b"%d" % doc_id)
+
+    numbered = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("at"), "text")
+    made = map_rows(numbered, encode, "kind string, at long, value binary", flush_rows=256)
+    # binary to string keeps the bytes as they are
+    made = made.select("kind", "at", F.col("value").cast("string").alias("value")).sortWithinPartitions("kind", "at")
+    made.select("kind", "value").write.partitionBy("kind").option("encoding", "ISO-8859-1").option("lineSep", SEPARATOR).text(path)
+
+
+def scan_token_files(spark: SparkSession, path: str, end: int = END, dtype: str = DTYPE, block: int = 1 << 20) -> DataFrame:
+    """(file, ordinal, start, n_tokens, closed) of each document in flat token files that have no index.
+
+    Blocks of ``block`` tokens are searched each for itself: a vectorised
+    comparison gives the places of ``end``.  What a block can't know, how many
+    documents and which unfinished one came before it, is a prefix scan over the
+    file's block summaries: a running sum of ends and a running maximum of their
+    places.  ``n_tokens`` leaves the separator out.  Tokens after a file's last
+    separator are a last document that isn't closed; a trailing partial token is
+    ignored; empty files give no rows.
+    """
+    width = np.dtype(dtype).itemsize
+
+    def search(rows: list) -> Iterator[tuple]:
+        for file, content in rows:
+            ids = np.frombuffer(content, dtype, len(content) // width)
+            for k, at in enumerate(range(0, len(ids), block)):
+                part = ids[at : at + block]
+                ends = np.flatnonzero(part == end) + at
+                yield file, k, at + len(part), at + len(part) == len(ids), ends.astype("<i8").tolist()
+
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    blocks = map_rows(files, search, "file string, block int, stop long, last boolean, ends array<long>", flush_rows=1)
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = blocks.select(
+        "*",
+        F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("ordinal"),
+        (F.coalesce(F.max(F.array_max("ends")).over(before), F.lit(-1)) + 1).alias("open"),
+    )
+    closing = F.when(F.col("last") & (F.coalesce(F.array_max("ends") + 1, F.col("open")) < F.col("stop")), F.concat("ends", F.array("stop"))).otherwise(F.col("ends"))
+    placed = placed.withColumn("all", closing).withColumn("n_closed", F.size("ends"))
+    each = placed.select("file", "ordinal", "open", "all", "n_closed", F.posexplode("all").alias("k", "stop"))
+    start = F.when(F.col("k") == 0, F.col("open")).otherwise(F.get("all", F.col("k") - 1) + 1)
+    return each.select("file", (F.col("ordinal") + F.col("k")).alias("ordinal"), start.alias("start"), (F.col("stop") - start).alias("n_tokens"), (F.col("k") < F.col("n_closed")).alias("closed"))
+
+
+def documents_of(spark: SparkSession, path: str) -> DataFrame:
+    """(file, ordinal, doc_id) as written beside the token files."""
+    separator = SEPARATOR.encode("latin-1")
+
+    def number(rows: list) -> Iterator[tuple]:
+        for file, content in rows:
+            for k, doc_id in enumerate(content.split(separator)[:-1]):
+                yield file, k, int(doc_id) if doc_id else None
+
+    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    return map_rows(files, number, "file string, ordinal long, doc_id long", flush_rows=1 << 14)
+
+
+def counts(docs: DataFrame) -> DataFrame:
+    """Tokens per document: writes the documents to flat token files and scans those.
+
+    A null or empty text has 0 tokens.  Each row of the input is a document of
+    its own, so repeated and null ids come back as often as they went in.  An
+    empty table gives no rows.  Other columns are ignored.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "tokens")
+    write_token_files(docs, f"{scratch.path}/flat")
+    try:
+        found = scan_token_files(spark, f"{scratch.path}/flat/kind=tokens")
+        names = documents_of(spark, f"{scratch.path}/flat/kind=ids")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "doc_id long, n_tokens long")  # nothing was written
+    return found.join(names.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens")
