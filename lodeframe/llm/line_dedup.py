@@ -67,11 +67,11 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     made = scratch.write(map_rows(texts, number, f"doc_id {kind}, k int, digest binary"), "chunks")
     first = made.groupBy("digest").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = scratch.write(made.join(first, "digest"), "members")
+    members = scratch.write(made.join(first.hint("merge"), "digest"), "members")
 
     # Byte comparison: the least and the greatest content under a digest are the same, or the digest is not used.
     wanted = members.groupBy("doc_id").agg(F.collect_set("k").alias("ks"))
-    both = texts.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("text", "ks")
+    both = texts.alias("d").join(wanted.hint("merge").alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("text", "ks")
 
     def fetch(rows: list) -> Iterator[tuple]:
         for text, ks in rows:
@@ -89,7 +89,8 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
 def _join_back(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The documents' rows with an array ``__gone`` of (k, digest), null where nothing goes."""
     gone = repeated_chunks(docs, scratch).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("k", "digest")).alias("__gone"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left").drop("__id")
+    # Merge joins at every size: no side here has a bound, and the plan for much data is the plan for little.
+    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["__id"]), "left").drop("__id")
 
 
 def _cut(text: str | None, gone: list | None) -> tuple[list[str], list[tuple[int, int]]]:
