@@ -130,14 +130,14 @@ def features(docs: DataFrame, n: int = 5) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), make, FEATURES)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int, per_cell: int = 512) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch, name: str, per_cell: int = 512) -> DataFrame:
     """The pairs (a, b) that link.
 
     Each ``b`` is a hub; its pairs are dealt into cells of some ``per_cell``, and
     the hub's text goes to each of its cells once.  A cell is streamed: the hub
     comes first and stays in memory, its partners pass by.
     """
-    hubs = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / per_cell).cast("int").alias("cells"))
+    hubs = scratch.write(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / per_cell).cast("int").alias("cells")), f"{name}-hubs")  # stored, so that the join can split a frequent hub
     dealt = pairs.join(hubs.hint("merge"), "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("cells")).cast("int").alias("cell"))
     partner = dealt.join(texts.hint("merge"), F.col("a") == F.col("doc_id")).select("b", "cell", "doc_id", "sig", "text")
     hub = hubs.select("b", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell")).join(texts.hint("merge"), F.col("b") == F.col("doc_id")).select("b", "cell", "doc_id", "sig", "text")
@@ -184,59 +184,147 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return labels
 
 
-def _cross_candidates(buckets: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, scratch: Scratch, block: int = 256) -> DataFrame:
-    """Pairs (a, b, matches) that share a bucket, have different labels and aren't pruned by their signatures.
+class _Cell:
+    """Members of a bucket that meet: minor ones in memory, others passing by."""
 
-    In a bucket with several labels the members outside its most frequent label
-    meet all members of other labels, block by block: a cell never holds more
-    than two blocks of signatures.  A pair that shares several buckets is
-    compared in the first only.
+    def __init__(self, band: int, percent: int) -> None:
+        self.band, self.least = band, np.array(prune_below(percent / 100))
+        self.ids: list[int] = []
+        self.labels: list[int] = []
+        self.sigs: list[np.ndarray] = []
+        self.table: tuple | None = None
+
+    def add(self, doc_id: int, label: int, sig: bytes) -> None:
+        self.ids.append(doc_id)
+        self.labels.append(label)
+        self.sigs.append(np.frombuffer(sig, np.uint32))
+
+    def partners(self, doc_id: int, label: int, sig: bytes, in_major: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the minor members, of other labels, that a member may link with, and how many values of the signature agree.
+
+        A pair that shares several buckets counts in the first only.
+        """
+        if not self.ids:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        if self.table is None:
+            self.table = np.stack(self.sigs), np.array(self.ids), np.array(self.labels)
+        sigs, ids, labels = self.table
+        same = sigs == np.frombuffer(sig, np.uint32)
+        good = labels != label if in_major else (labels != label) & (ids < doc_id)
+        good &= same.reshape(len(ids), BANDS, -1).all(2).argmax(1) == self.band
+        matches = same.reshape(len(ids), -1, BATCH).sum(2).cumsum(1)
+        good &= (matches >= self.least).all(1)
+        at = np.flatnonzero(good)
+        return at, matches[at, -1]
+
+
+CELL = ("band", "key", "i", "j")
+
+
+def _mixed_cells(buckets: DataFrame, labels: DataFrame, scratch: Scratch, block: int) -> DataFrame | None:
+    """(band, key, i, j, role, doc_id, label, in_major): cells of the buckets whose members have several labels.
+
+    The members outside a bucket's most frequent label (role 0) meet all members
+    (role 1), block by block: a cell has some ``block`` members of each role.
     """
     placed = buckets.join(labels.hint("merge"), F.col("doc_id") == F.col("node"), "left").select("band", "key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     placed = scratch.write(placed, "placed")
     by_label = placed.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = by_label.groupBy("band", "key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1 and n > 2")
     mixed = mixed.select(F.col("band").alias("mb"), F.col("key").alias("mk"), "n", F.col("most.label").alias("major"), (F.col("n") - F.col("most.n")).alias("minor"))
-    members = scratch.write(placed.join(mixed.hint("merge"), (F.col("band") == F.col("mb")) & (F.col("key") == F.col("mk"))).drop("mb", "mk"), "mixed")
-    if members.isEmpty():
+    mixed = scratch.write(mixed, "mixed")
+    if mixed.isEmpty():
         return None
-    sigs = reps.select(F.col("doc_id").alias("sig_id"), "sig")
-    members = members.join(sigs.hint("merge"), F.col("doc_id") == F.col("sig_id")).drop("sig_id")
+    members = placed.join(mixed.hint("merge"), (F.col("band") == F.col("mb")) & (F.col("key") == F.col("mk"))).drop("mb", "mk")
     count = lambda c: F.ceil(F.col(c) / block).cast("int")
     members = members.withColumn("i", F.pmod(F.xxhash64("doc_id"), count("minor")).cast("int")).withColumn("j", F.pmod(F.xxhash64(F.lit(7), "doc_id"), count("n")).cast("int"))
     own = members.where("label <> major").withColumn("j", F.explode(F.sequence(F.lit(0), count("n") - 1))).withColumn("role", F.lit(0))
     others = members.withColumn("i", F.explode(F.sequence(F.lit(0), count("minor") - 1))).withColumn("role", F.lit(1))
-    cells = own.unionByName(others).select("band", "key", "i", "j", "role", "doc_id", "label", "sig", (F.col("label") == F.col("major")).alias("in_major"))
-    cells = cells.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "role")
+    return scratch.write(own.unionByName(others).select(*CELL, "role", "doc_id", "label", (F.col("label") == F.col("major")).alias("in_major")), "cells")
+
+
+def _streamed(cells: DataFrame, *payload: str) -> DataFrame:
+    return cells.select(*CELL, "role", "doc_id", "label", "in_major", *payload).repartition(*CELL).sortWithinPartitions(*CELL, "role")
+
+
+def _cross_candidates(cells: DataFrame, reps: DataFrame, percent: int, dense: int = 4) -> DataFrame:
+    """Pairs (a, b, matches) of different labels that their signatures don't rule out, and cells with too many such pairs.
+
+    A cell gives at most ``dense`` pairs for each of its members as rows; one
+    with more is named by its place, with null ``a``, to be verified as it is.
+    """
+    sigs = reps.select(F.col("doc_id").alias("sig_id"), "sig")
+    rows = _streamed(cells.join(sigs.hint("merge"), F.col("doc_id") == F.col("sig_id")), "sig")
 
     def stream(batches):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
-        cell, minors = None, []
-        least = prune_below(percent / 100)
+        types = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()
+        names = ["a", "b", "matches", *CELL]
+        place, cell, members, pairs, out = None, None, 0, [], []
+
+        def close() -> None:
+            out.extend(pairs if len(pairs) <= dense * members else [(None, None, None, *place)])
+            pairs.clear()
+
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for band, key, i, j, role, doc_id, label, sig, in_major in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if cell != (band, key, i, j):
-                    cell, minors, table = (band, key, i, j), [], None
-                sig = np.frombuffer(sig, np.uint32)
+            for *at, role, doc_id, label, in_major, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place != at:
+                    if place:
+                        close()
+                    place, cell, members = at, _Cell(at[0], percent), 0
+                members += 1
                 if role == 0:
-                    minors.append((doc_id, label, sig))
-                    continue
-                if not minors:
+                    cell.add(doc_id, label, sig)
+                elif len(pairs) <= dense * block_limit:
+                    pairs += [(cell.ids[k], doc_id, int(m), *place) for k, m in zip(*cell.partners(doc_id, label, sig, in_major), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=names)
+            out.clear()
+        if place:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=names)
+
+    block_limit = 1 << 14  # members of a cell are far fewer: past this a cell is dense for certain
+    return rows.mapInArrow(stream, "a long, b long, matches int, band int, key long, i int, j int")
+
+
+def _dense_links(cells: DataFrame, places: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join labels, verified inside the cells named by ``places``; pairs that a cell's links have joined by then are passed over."""
+    named = places.select(*[F.col(c).alias(f"p_{c}") for c in CELL])
+    wanted = cells.join(named.hint("merge"), [F.col(c) == F.col(f"p_{c}") for c in CELL])
+    rows = _streamed(wanted.join(texts.select(F.col("doc_id").alias("t"), "sig", "text").hint("merge"), F.col("doc_id") == F.col("t")), "sig", "text")
+
+    def stream(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        place, cell, sets, above = None, None, [], {}
+
+        def top(label: int) -> int:
+            while (up := above.get(label, label)) != label:
+                above[label] = above.get(up, up)
+                label = up
+            return label
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for *at, role, doc_id, label, in_major, sig, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place != at:
+                    place, cell, sets, above = at, _Cell(at[0], percent), [], {}
+                if role == 0:
+                    cell.add(doc_id, label, sig)
+                    sets.append(shingles(text))
                     continue
-                if table is None:
-                    table = np.stack([m[2] for m in minors]), np.array([m[0] for m in minors]), np.array([m[1] for m in minors])
-                sigs, ids, own = table
-                same = sigs == sig
-                good = own != label if in_major else (own != label) & (ids < doc_id)
-                good &= same.reshape(len(ids), BANDS, -1).all(2).argmax(1) == band
-                matches = same.reshape(len(ids), -1, BATCH).sum(2).cumsum(1)
-                good &= (matches >= np.array(least)).all(1)
-                out += [(int(ids[k]), doc_id, int(matches[k, -1])) for k in np.flatnonzero(good)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "matches"])
+                own = None
+                for k in cell.partners(doc_id, label, sig, in_major)[0]:
+                    if top(cell.labels[k]) == top(label):
+                        continue
+                    own = shingles(text) if own is None else own
+                    if similar(sets[k], own, percent):
+                        out.append((cell.ids[k], doc_id))
+                        above[top(cell.labels[k])] = top(label)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return cells.mapInArrow(stream, "a long, b long, matches int")
+    return rows.mapInArrow(stream, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5) -> DataFrame:
@@ -247,9 +335,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5) -> DataFrame
     2. In each bucket of a band every member is paired with the least member and
        verified.  That star joins most of a large group with few pairs.
     3. Where a bucket's members still have different labels, the pairs between
-       labels are compared by signatures, block by block.  What isn't pruned is
-       verified: first the most promising pair of each document and foreign
-       label, then all that labels haven't joined by then.
+       labels are compared by signatures, block by block.  Where most pairs of a
+       cell of two blocks aren't pruned, the cell is verified in place; else its
+       pairs are: first the most promising of each document and foreign label,
+       then all that labels haven't joined by then.
 
     So a link is lost only if a pair shares no band or is pruned, with the
     probabilities at the top of this module.
@@ -275,18 +364,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5) -> DataFrame
                 yield k, key, doc_id
 
     in_bands = map_rows(reps, band_rows, "band int, key long, doc_id long", flush_rows=1 << 15)
-    least = in_bands.groupBy("band", "key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    in_bands = scratch.write(in_bands, "bands")
+    least = scratch.write(in_bands.groupBy("band", "key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "hubs")
     buckets = scratch.write(in_bands.join(least.hint("merge"), ["band", "key"]), "buckets")
     pairs = scratch.write(buckets.where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     wanted = buckets.select("doc_id").distinct().join(reps.hint("merge"), "doc_id").select(F.col("doc_id").alias("w"), "sig")
     texts = docs.join(wanted.hint("merge"), F.col("doc_id") == F.col("w")).select("doc_id", "sig", "text")
     texts = scratch.write(texts.dropDuplicates(["doc_id"]) if _repeats(full) else texts, "texts")
-    links = scratch.write(_verified(pairs, texts, percent), "links")
+    links = scratch.write(_verified(pairs, texts, percent, scratch, "star"), "links")
     labels = components(links, scratch, "star")
-    cross = _cross_candidates(buckets, labels, reps, percent, scratch)
-    if cross is not None:
-        cross = scratch.write(cross.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "cross")
-        labels = _joined(cross, links, labels, texts, percent, scratch)
+    cells = _mixed_cells(buckets, labels, scratch, block=256)
+    if cells is not None:
+        cross = scratch.write(_cross_candidates(cells, reps, percent), "cross")
+        places = cross.where("a is null")
+        if not places.isEmpty():
+            links = links.unionByName(scratch.write(_dense_links(cells, places, texts, percent), "dense"))
+            labels = components(links, scratch, "dense")
+        few = cross.where("a is not null").select("a", "b", "matches")
+        labels = _joined(scratch.write(few.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "few"), links, labels, texts, percent, scratch)
     known = member.join(labels.hint("merge"), F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("m"), F.coalesce("label", "rep").alias("component"))
     out = made.join(known.hint("merge"), F.col("doc_id") == F.col("m"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -309,7 +404,7 @@ def _joined(cross: DataFrame, links: DataFrame, labels: DataFrame, texts: DataFr
             chosen = apart.groupBy("a", "lb").agg(F.max(F.struct("matches", "b")).alias("best")).select("a", "best.b")
         else:
             chosen = apart.select("a", "b")
-        found = scratch.write(_verified(chosen.distinct(), texts, percent), f"found-{at}")
+        found = scratch.write(_verified(chosen.distinct(), texts, percent, scratch, f"cross-{at}"), f"found-{at}")
         cross = scratch.write(apart.select("a", "b", "matches").join(chosen.hint("merge"), ["a", "b"], "left_anti"), f"cross-{at}") if at == 0 else cross
         if not found.isEmpty():
             links = links.unionByName(found)
