@@ -1,0 +1,6 @@
+"""Streaming.
+
+The engine's dialect has no streams, windows or watermarks, so there is nothing
+here; Structured Streaming frames can be passed to the stateless operators of
+:mod:`lodeframe.operators` (scan, project, select) as they are.
+"""
