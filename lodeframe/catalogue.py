@@ -156,7 +156,7 @@ def group_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_by(_t(spark, sf_dir, "lineitem"), [], [Count("l_orderkey"), Max("l_quantity")])
 
 
-@_query("select o_custkey, sum(o_orderkey) as sumofo_orderkey, count(*) as countofo_orderkey from orders group by o_custkey")
+@_query("select o_custkey, cast(sum(o_orderkey) as bigint) as sumofo_orderkey, count(*) as countofo_orderkey from orders group by o_custkey")
 def group_user_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = Fold("o_orderkey", "sumofo_orderkey", T.LongType(), lambda v: v, lambda s, v: s + v)
     return group_by(_t(spark, sf_dir, "orders"), ["o_custkey"], [total, Count("o_orderkey")])
