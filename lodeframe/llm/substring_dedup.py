@@ -7,7 +7,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import Scratch, map_rows
 
 #: Spans are start:end of the original text in code points, comma-joined.
 REPORT = "n_units int, n_removed_units int, n_removed_chars int, removed_spans string, kept_text string"
@@ -27,13 +27,19 @@ def normalised(unit: Column) -> Column:
 
 
 def repeats(docs: DataFrame, min_words: int = 5) -> DataFrame:
-    """(doc_id, at) of each unit of ``min_words`` or more that occurs earlier, by doc_id and place."""
+    """(doc_id, at) of each unit of ``min_words`` or more that occurs earlier, by doc_id and place.
+
+    The units' digests are stored: texts are cut once, and the join with each
+    digest's first place can split a frequent digest.
+    """
+    scratch = Scratch(docs.sparkSession, "units")
     each = docs.select("doc_id", F.posexplode(units(F.col("text"))).alias("at", "unit"))
     each = each.select("doc_id", "at", normalised(F.col("unit")).alias("unit")).where(F.length("unit") - F.length(F.replace("unit", F.lit(" "), F.lit(""))) >= min_words - 1)
     # 128 bits: two hashes whose seeds differ
     each = each.select("doc_id", "at", F.xxhash64("unit").alias("h1"), F.xxhash64(F.lit(1), "unit").alias("h2"))
+    each = scratch.write(each, "each")
     first = each.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return each.join(first, ["h1", "h2"]).where(~F.struct("doc_id", "at").eqNullSafe(F.col("first"))).select("doc_id", "at")
+    return each.join(scratch.write(first, "first").hint("merge"), ["h1", "h2"]).where(~F.struct("doc_id", "at").eqNullSafe(F.col("first"))).select("doc_id", "at")
 
 
 def deduplicate(docs: DataFrame, min_words: int = 5, min_run_words: int = 20) -> DataFrame:
@@ -53,7 +59,7 @@ def deduplicate(docs: DataFrame, min_words: int = 5, min_run_words: int = 20) ->
     """
     found = repeats(docs, min_words).groupBy("doc_id").agg(F.collect_set("at").alias("repeated"))  # at most the units of a document
     base = docs.select("doc_id", "text").alias("d")
-    both = base.join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left").select("d.doc_id", units(F.col("d.text")).alias("units"), "repeated")
+    both = base.join(found.hint("merge").alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left").select("d.doc_id", units(F.col("d.text")).alias("units"), "repeated")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_rows(both, lambda rows: (remove(*r, min_words, min_run_words) for r in rows), f"doc_id {kind}, {REPORT}", flush_rows=512)
 
