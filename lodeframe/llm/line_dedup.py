@@ -67,6 +67,7 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     made = scratch.write(map_rows(texts, number, f"doc_id {kind}, k int, digest binary"), "chunks")
     first = made.groupBy("digest").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = scratch.write(first, "first")  # stored, so that the join can split a frequent digest
     members = scratch.write(made.join(first.hint("merge"), "digest"), "members")
 
     # Byte comparison: the least and the greatest content under a digest are the same, or the digest is not used.
