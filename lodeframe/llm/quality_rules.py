@@ -134,4 +134,6 @@ def clean(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     counts = features(at, "host", "__row").withColumn("failed", base_failed(limits) | (soft_failures(limits) >= limits.soft_failures))
     hosts = shrunk_rates(Scratch(docs.sparkSession, "quality").write(counts.select("host", "failed"), "failed"), limits)
     bad = hosts.where(F.col("host_rate") > limits.host_rate).select(F.col("host").alias("__host"))
-    return counts.where(~F.col("failed")).select("host", "__row").join(bad, F.col("host").eqNullSafe(F.col("__host")), "left_anti").select("__row.*")
+    # The row number is a barrier: without it the filter is pushed below the counts, and each use of an array makes it anew.
+    counts = counts.withColumn("__nth", F.monotonically_increasing_id()).where(~F.col("failed") & (F.col("__nth") >= 0))
+    return counts.select("host", "__row").join(bad, F.col("host").eqNullSafe(F.col("__host")), "left_anti").select("__row.*")

@@ -67,7 +67,7 @@ def deduplicate(docs: DataFrame, min_words: int = 5, min_run_words: int = 20) ->
 def remove(doc_id, cut: list[str], repeated: list[int] | None, min_words: int, min_run_words: int) -> tuple:  # noqa: ANN001
     spans: list[tuple[int, int, int]] = []  # first unit, end unit, words
     if repeated:
-        words = [len(u.split()) for u in cut]
+        words = [len(u.encode("utf-8", "surrogatepass").split()) for u in cut]  # by ASCII white space, as in ``normalised``
         for at in sorted(repeated):
             if spans and all(words[k] < min_words for k in range(spans[-1][1], at)):
                 spans[-1] = spans[-1][0], at + 1, spans[-1][2] + sum(words[spans[-1][1] : at + 1])
