@@ -205,7 +205,7 @@ def _database(spark: SparkSession) -> Store:
     return Store(spark, f"{root.rstrip('/')}/lodeframe-db-{uuid.uuid4().hex}")
 
 
-@_query("select c_custkey, case when c_nationkey = 2 then 'NONE' else c_mktsegment end as c_mktsegment, c_nationkey from customer where c_nationkey <> 3 union all select cast(0 as integer), 'NEW', cast(0 as integer)")
+@_query("select cast(c_custkey as integer) as c_custkey, case when c_nationkey = 2 then 'NONE' else c_mktsegment end as c_mktsegment, c_nationkey from customer where c_nationkey <> 3 union all select cast(0 as integer), 'NEW', cast(0 as integer)")
 def stored_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load, update, delete and insert on a stored table, each in a transaction, then a query."""
     store = _database(spark)
