@@ -16,6 +16,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import UnknownNameError
 from ..functions.aggregates import AggregationFn
@@ -85,7 +86,8 @@ def _equi_join(left: DataFrame, right: DataFrame, left_field: str, right_field:
     side = right.withColumn(key, _q(right_field)).drop(*[c for c in right.columns if c in left.columns])
     side = side.hint(hint) if hint else side
     p = Predicate((Term(column(left_field), column(key)),))
-    return left.join(side, p.filter(left.schema.add(key, right.schema[right_field].dataType)), "inner").drop(key)
+    schema = T.StructType([*left.schema, T.StructField(key, right.schema[right_field].dataType)])
+    return left.join(side, p.filter(schema), "inner").drop(key)
 
 
 def index_select(df: DataFrame, field: str, value: int | str) -> DataFrame:
