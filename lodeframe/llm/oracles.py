@@ -17,7 +17,7 @@ SPACE_WORD = r"[^ \t\n\x0B\f\r]+"
 def _found(kind: str, pattern: str) -> str:
     """Matches with their starts: the pieces between them say where they are."""
     return f"""
-select doc_id, '{kind}' as kind, m[i] as m, gap[i] as gap,
+select doc_id, '{kind}' as kind, m[i] as m, right(coalesce(gap[i - 1] || m[i - 1], '') || gap[i], 40) as gap,
        list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as pos
 from (select doc_id, m, gap, unnest(range(1, len(m) + 1)) as i
       from (select doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}') as m, string_split_regex(coalesce(text, ''), '{pattern}') as gap from documents))"""

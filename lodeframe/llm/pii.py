@@ -82,14 +82,15 @@ def running_total(lengths: Column, block: int = 256) -> Column:
 def _spans(k: Kind, text: Column, found: Column) -> Column:
     """Array of (kind, start, end, score) of the valid matches; the text between matches gives the starts."""
     between = F.split(text, k.pattern, -1)
-    pairs = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.length(m).alias("n"), F.get(between, i).alias("gap")))
+    before = lambda i: F.concat(F.coalesce(F.right(F.get(between, i - 1), F.lit(CONTEXT_CHARS)), F.lit("")), F.coalesce(F.get(found, i - 1), F.lit("")), F.right(F.get(between, i), F.lit(CONTEXT_CHARS)))
+    pairs = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.length(m).alias("n"), F.get(between, i).alias("gap"), F.right(before(i), F.lit(CONTEXT_CHARS)).alias("before")))
     ends = running_total(F.transform(pairs, lambda p: F.length(p["gap"]) + p["n"]))
     placed = F.arrays_zip(pairs.alias("p"), ends.alias("e"))
     good = F.filter(placed, lambda s: k.valid(s["p"]["m"]))
     near = rf"(?i)\b(?:{k.context})\b"
 
     def score(s: Column) -> Column:
-        return F.lit(k.score) + F.when(F.right(s["p"]["gap"], F.lit(CONTEXT_CHARS)).rlike(near), CONTEXT_GAIN).otherwise(0)
+        return F.lit(k.score) + F.when(s["p"]["before"].rlike(near), CONTEXT_GAIN).otherwise(0)
 
     out = F.transform(good, lambda s: F.struct((s["e"] - s["p"]["n"]).alias("start"), s["e"].alias("end"), score(s).alias("score")))
     return F.when(F.size(found) > 0, F.filter(out, lambda s: F.lit(True) if k.base else s["score"] >= LEAST_SCORE)).otherwise(F.array().cast("array<struct<start:int,end:int,score:int>>"))

@@ -153,7 +153,7 @@ def _unpacked(blob: bytes) -> list[np.ndarray]:
 # --- 1: grams ---------------------------------------------------------------
 
 
-def _sent_grams(parts: int):  # noqa: ANN202
+def _sent_grams(parts: int, most: int):  # noqa: ANN202
     def run(rows: list) -> Iterator[tuple]:
         rows = sorted(((NO_ID if d is None else d, (t or "").encode("utf-8", "surrogatepass")) for d, t in rows), key=lambda r: r[0])
         ids, texts = np.array([r[0] for r in rows], np.int64), [r[1] for r in rows]
@@ -163,11 +163,12 @@ def _sent_grams(parts: int):  # noqa: ANN202
         new_gram = np.concatenate([[True], gram[1:] != gram[:-1]]) if len(gram) else np.empty(0, bool)
         new = new_gram.copy()
         new[1:] |= context[1:] != context[:-1]
-        # equal contexts in the batch: all but the first go whole
-        gone = order[~new]
+        # equal contexts in the batch: all but the first go whole; a repeated row is the first's place once more
+        first_of = order[new][np.cumsum(new) - 1] if len(gram) else order
+        gone = order[(ids[a.doc[order]] != ids[a.doc[first_of]]) | (a.number[order] != a.number[first_of])]
         gone_doc, gone_number = a.doc[gone], a.number[gone]
         differing = np.bincount(np.cumsum(new_gram) - 1, weights=new).astype(np.int64) if len(gram) else np.empty(0, np.int64)
-        wide = differing[np.cumsum(new_gram) - 1] >= WIDE if len(gram) else np.empty(0, bool)
+        wide = differing[np.cumsum(new_gram) - 1] >= most if len(gram) else np.empty(0, bool)
         first, spread = order[new & ~wide], order[new & wide]
         marks = gram[new_gram & wide]
         by_doc: dict[int, list[list]] = {}
@@ -230,6 +231,8 @@ def _compared_grams(batches):  # noqa: ANN001, ANN202
         same[1:] &= (c[1:] == c[:-1]) & ~mark[:-1]
         wide = np.bincount(group, weights=mark)[group] > 0
         real = np.bincount(group, weights=~same & ~mark)[group]
+        start = np.flatnonzero(~same)[np.cumsum(~same) - 1]  # the first place of each context
+        same &= (d != d[start]) | (x != x[start])
         state = np.where(wide, SPREAD, np.where(real > 1, DIFFERS, np.where(same, REPEATED, 0)))
         tell = (state > 0) & ~mark
         d, code = d[tell], 4 * (x[tell] - 1) + state[tell]
@@ -403,7 +406,7 @@ def _compared_contexts(batches):  # noqa: ANN001, ANN202
 
     def one_gram(group: list[tuple[int, int, int, int, bytes]]) -> None:
         seen: set[bytes] = set()
-        for doc_id, i, j, left, s in sorted(group):
+        for doc_id, i, j, left, s in sorted(set(group)):
             context = s[len(s) - left :] + s[8 : len(s) - left]
             places = []
             for k in range(j - i + 1):
@@ -426,14 +429,14 @@ def _compared_contexts(batches):  # noqa: ANN001, ANN202
                 group.append((d + bases[r], i, j, left, s))
             else:
                 if known < len(s) and group:
-                    out.extend((d, p, p) for d, p in sorted(group)[1:])
+                    out.extend((d, p, p) for d, p in sorted(set(group))[1:])
                     group = []
                 group.append((data[0] + bases[r], data[1]))
         if kind == DIFFERS:
             if group:
                 one_gram(group)
         else:
-            out.extend((d, p, p) for d, p in sorted(group)[1:])
+            out.extend((d, p, p) for d, p in sorted(set(group))[1:])
 
     cell, runs = None, []
     for batch in batches:
@@ -493,7 +496,7 @@ def _cut(rows: list) -> Iterator[tuple]:
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, wide: int = WIDE) -> DataFrame:
     """One row per document: bytes, bytes removed, maximal removed runs, digest of what is left, and the runs' ends.
 
     Earlier is by ``doc_id``, then by start; strings never cross documents and
@@ -509,7 +512,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     deal = F.coalesce("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
-    sent = map_rows(texts, _sent_grams(parts), SENT, flush_rows=64)
+    sent = map_rows(texts, _sent_grams(parts, wide), SENT, flush_rows=64)
     told = sent.repartition(deal).sortWithinPartitions("part").mapInArrow(_compared_grams, TOLD)
     known = told.groupBy("doc_id").agg(F.flatten(F.collect_list("codes")).alias("codes"), F.max("n_bytes").alias("n_bytes"), F.count("n_bytes").alias("n"), F.first("sha", ignorenulls=True).alias("sha"))
     known = scratch.write(known, "known")
