@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,23 @@ class Scratch:
     local, a temporary folder.
     """
 
+    _scopes: list[list[Scratch]] = []
+
+    @classmethod
+    @contextmanager
+    def scope(cls) -> Iterator[None]:
+        """Deletes, at its end, the tables of all that was made within: for work whose result is stored elsewhere by then."""
+        cls._scopes.append([])
+        try:
+            yield
+        finally:
+            for made in cls._scopes.pop():
+                made.drop()
+
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        if self._scopes:
+            self._scopes[-1].append(self)
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not root:
             if not spark.sparkContext.master.startswith("local"):
