@@ -157,3 +157,13 @@ def test_estimates():
     assert estimate.materialize(a, 60).blocks == 135
     assert estimate.block_product(a, b, 15, 5).blocks == 15 + 150 * 3
     assert (estimate.best_root(8, 100), estimate.best_factor(8, 100), estimate.btree_search(100, 10)) == (5, 8, 3)
+
+
+def test_stateless_operators_take_streams(student, spark, tmp_path):
+    student.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(student.schema).parquet(str(tmp_path / "in"))
+    out = project(select(stream, [Term(column("gradyear"), constant(2001))]), ["sname"])
+    q = out.writeStream.format("memory").queryName("early").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert rows(spark.table("early")) == [("kim",), ("pat",)]
