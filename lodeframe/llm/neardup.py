@@ -174,10 +174,12 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     while True:
         at += 1
         near = both.join(labels.hint("merge"), F.col("v") == F.col("node")).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near.hint("merge"), "node").select("node", F.least("label", "near").alias("label"))
+        step = labels.join(near.hint("merge"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        step = scratch.write(step, f"{name}-step-{at}")  # stored, so that the join can split a frequent label
         up = step.select(F.col("node").alias("up"), F.col("label").alias("upper"))
-        step = step.join(up.hint("merge"), F.col("label") == F.col("up")).select("node", F.least("label", "upper").alias("new"))
-        step = scratch.write(step.join(labels.hint("merge"), "node").select("node", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("moved")), f"{name}-{at}")
+        least = F.least("label", "upper")
+        step = step.join(up.hint("merge"), F.col("label") == F.col("up")).select("node", least.alias("label"), (least < F.col("old")).alias("moved"))
+        step = scratch.write(step, f"{name}-{at}")
         moved = step.where("moved").isEmpty()
         labels = step.drop("moved")
         if moved:
@@ -352,8 +354,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     made = scratch.write(features(docs, n), "features")
     full = made.where("doc_id is not null and n_shingles > 0")
-    classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member = full.select("doc_id", "d1", "d2").distinct().join(classes.hint("merge"), ["d1", "d2"]).groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    classes = scratch.write(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")  # stored, so that the join can split a large class
+    member = full.select("doc_id", "d1", "d2").join(classes.hint("merge"), ["d1", "d2"]).groupBy("doc_id").agg(F.min("rep").alias("rep"))
     member = scratch.write(member, "members")
     reps = full.join(member.where("doc_id = rep").select(F.col("doc_id").alias("r")).hint("merge"), F.col("doc_id") == F.col("r")).select("doc_id", "sig").dropDuplicates(["doc_id"])
     reps = scratch.write(reps, "representatives")
