@@ -9,7 +9,7 @@ at the same place, and each window belongs to one anchor.  An anchor's context
 is all bytes of the windows that it owns.
 
 1. Every batch of documents sorts its anchors by gram and sends sorted runs of
-   them by ranges of the gram's hash; contexts that are equal inside the batch
+   them, dealt by the gram's hash; contexts that are equal inside the batch
    go once.  What meets there tells for each anchor whether its gram is unique,
    whether all contexts of it are equal (all but the first are removed whole),
    or whether contexts differ.
@@ -150,6 +150,11 @@ def _unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def _part(gram: np.ndarray, parts: int) -> np.ndarray:
+    """Of elected grams, whose hashes are small: an even share for each part."""
+    return ((_mix(gram + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
 # --- 1: grams ---------------------------------------------------------------
 
 
@@ -187,9 +192,9 @@ def _sent_grams(parts: int, most: int):  # noqa: ANN202
         grams = np.concatenate([a.gram[first], marks])
         # place 0 is a mark: the gram is wide in this batch
         columns = [grams, np.concatenate([a.context[first] >> np.uint64(16), np.zeros(len(marks), np.uint64)]), np.concatenate([ids[a.doc[first]] - base, np.zeros(len(marks), np.int64)]).astype(np.uint64), np.concatenate([a.number[first] + 1, np.zeros(len(marks), np.int64)])]
-        o = np.argsort(grams, kind="stable")
-        columns = [c[o] for c in columns]
-        part = ((columns[0] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        part = _part(grams, parts)
+        o = np.lexsort((grams, part))
+        columns, part = [c[o] for c in columns], part[o]
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             yield int(part[i]), base, None, None, None, _run_of_grams(*(c[i:j] for c in columns))
@@ -351,10 +356,10 @@ def _sent_contexts(parts: int):  # noqa: ANN202
             if not len(state):
                 continue
             b = text.encode("utf-8", "surrogatepass")
-            for s, a, i, j, g in zip(state.tolist(), at.tolist(), lo.tolist(), hi.tolist(), gram.tolist(), strict=True):
+            for s, a, i, j, g, part in zip(state.tolist(), at.tolist(), lo.tolist(), hi.tolist(), gram.tolist(), _part(gram, parts).tolist(), strict=True):
                 if s == DIFFERS:
                     # gram first, then the bytes from it on, then those before it
-                    contexts.setdefault((g >> 32) * parts >> 32, []).append((g.to_bytes(8, "big") + b[a : j + LENGTH] + b[i:a], (doc_id - base, i, j, a - i)))
+                    contexts.setdefault(part, []).append((g.to_bytes(8, "big") + b[a : j + LENGTH] + b[i:a], (doc_id - base, i, j, a - i)))
                 else:
                     for p in range(i, j + 1):
                         digest = xxhash.xxh3_128_digest(b[p : p + LENGTH])
