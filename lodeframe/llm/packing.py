@@ -127,15 +127,16 @@ def _best(free: np.ndarray, room: int, largest: int) -> int:
 def pack(made: DataFrame, scratch: Scratch, capacity: int = 2048, key: str = "length") -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to stored rows that have a length of 1 to ``capacity``.
 
-    ``made`` must be a stored table.  Ranks come from two levels: a window over
-    (length, salt), with as many salts as partitions would take a hot length, and
-    a prefix sum of the salts' counts.  The slot table has an entry for each
-    length of each pattern, at most some ``capacity`` patterns of at most
-    sqrt(2 * capacity) lengths: bounded by ``capacity``, not by the rows, so it
-    is broadcast.
+    Ranks come from two levels: a window over (length, salt), with a salt for
+    each shuffle partition so that a hot length spreads over all of them, and a
+    prefix sum of the salts' counts, joined on the window's own partitioning.
+    The slot table has an entry for each length of each pattern, at most some
+    ``capacity`` patterns of at most sqrt(2 * capacity) lengths: bounded by
+    ``capacity``, not by the rows, so it is broadcast.
     """
     spark = made.sparkSession
-    salted = scratch.write(made.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(64))), "salted")
+    salts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    salted = scratch.write(made.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts))), "salted")
     cells = salted.groupBy(F.col(key).alias("__len"), "__salt").agg(F.count(F.lit(1)).alias("__n"))
     counts = {r[0]: r[1] for r in cells.groupBy("__len").agg(F.sum("__n")).collect()}  # at most ``capacity`` rows
     fixed, rest = reduce_by_dominance(counts, capacity)
@@ -152,12 +153,11 @@ def pack(made: DataFrame, scratch: Scratch, capacity: int = 2048, key: str = "le
     before = Window.partitionBy("__len").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     within = Window.partitionBy(key, "__salt").orderBy("doc_id", "piece")
-    ranked = salted.withColumn("__rank", F.row_number().over(within) - 1).alias("r").join(F.broadcast(cells).alias("c"), (F.col(f"r.{key}") == F.col("c.__len")) & (F.col("r.__salt") == F.col("c.__salt")))
+    ranked = salted.withColumn("__rank", F.row_number().over(within) - 1).alias("r").join(cells.hint("merge").alias("c"), (F.col(f"r.{key}") == F.col("c.__len")) & (F.col("r.__salt") == F.col("c.__salt")))
     ranked = ranked.select("r.*", (F.col("__rank") + F.col("__before")).alias("__place"))
     s = F.broadcast(slots)
     joined = ranked.join(s, (ranked[key] == s["__len"]) & (ranked["__place"] >= s["__first"]) & (ranked["__place"] < s["__first"] + s["__rows"]))
-    k = F.col("__place") - F.col("__first")
-    return joined.select(*made.columns, (F.col("__base") + F.floor(k / F.col("__each"))).cast("long").alias("sequence_id"), (F.col("__at") + F.pmod(k, F.col("__each")) * F.col("__len")).alias("offset"))
+    return joined.select(*made.columns, F.expr("__base + (__place - __first) div __each").alias("sequence_id"), F.expr("__at + (__place - __first) % __each * __len").alias("offset"))
 
 
 def packed(docs: DataFrame, capacity: int = 2048) -> DataFrame:
