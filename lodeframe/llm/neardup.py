@@ -67,13 +67,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signature(grams: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+def signature(grams: np.ndarray, block: int = 256) -> np.ndarray:
     """Least values under ``SIGNATURE`` hash functions, the upper 32 bits of each."""
     out = np.full(SIGNATURE, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(grams), block):
-        part = grams[at : at + block]
-        for k, m in enumerate(_multipliers()):
-            out[k] = min(out[k], (part * m).min())
+        np.minimum(out, (grams[at : at + block, None] * _multipliers()).min(axis=0), out=out)
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
