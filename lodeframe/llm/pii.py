@@ -79,21 +79,25 @@ def running_total(lengths: Column, block: int = 256) -> Column:
     return F.when(F.size(lengths) <= block, short).otherwise(whole)
 
 
-def _spans(k: Kind, text: Column, found: Column) -> Column:
-    """Array of (kind, start, end, score) of the valid matches; the text between matches gives the starts."""
-    between = F.split(text, k.pattern, -1)
-    before = lambda i: F.concat(F.coalesce(F.right(F.get(between, i - 1), F.lit(CONTEXT_CHARS)), F.lit("")), F.coalesce(F.get(found, i - 1), F.lit("")), F.right(F.get(between, i), F.lit(CONTEXT_CHARS)))
-    pairs = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.length(m).alias("n"), F.get(between, i).alias("gap"), F.right(before(i), F.lit(CONTEXT_CHARS)).alias("before")))
-    ends = running_total(F.transform(pairs, lambda p: F.length(p["gap"]) + p["n"]))
-    placed = F.arrays_zip(pairs.alias("p"), ends.alias("e"))
-    good = F.filter(placed, lambda s: k.valid(s["p"]["m"]))
-    near = rf"(?i)\b(?:{k.context})\b"
+def _pairs(found: Column, between: Column) -> Column:
+    """Each match with its length, the text since the one before, and the last characters before it."""
+    tail = lambda c: F.coalesce(F.right(c, F.lit(CONTEXT_CHARS)), F.lit(""))
+
+    def pair(m: Column, i: Column) -> Column:
+        before = F.concat(tail(F.get(between, i - 1)), tail(F.get(found, i - 1)), tail(F.get(between, i)))
+        return F.struct(m.alias("m"), F.length(m).alias("n"), F.length(F.get(between, i)).alias("gap"), tail(before).alias("before"))
 
-    def score(s: Column) -> Column:
-        return F.lit(k.score) + F.when(s["p"]["before"].rlike(near), CONTEXT_GAIN).otherwise(0)
+    return F.transform(found, pair)
 
+
+def _spans(k: Kind, pairs: Column, ends: Column) -> Column:
+    """Array of (start, end, score) of the valid matches."""
+    good = F.filter(F.arrays_zip(pairs.alias("p"), ends.alias("e")), lambda s: k.valid(s["p"]["m"]))
+    near = rf"(?i)\b(?:{k.context})\b"
+    score = lambda s: F.lit(k.score) + F.when(s["p"]["before"].rlike(near), CONTEXT_GAIN).otherwise(0)
     out = F.transform(good, lambda s: F.struct((s["e"] - s["p"]["n"]).alias("start"), s["e"].alias("end"), score(s).alias("score")))
-    return F.when(F.size(found) > 0, F.filter(out, lambda s: F.lit(True) if k.base else s["score"] >= LEAST_SCORE)).otherwise(F.array().cast("array<struct<start:int,end:int,score:int>>"))
+    none = F.array().cast("array<struct<start:int,end:int,score:int>>")
+    return F.when(F.size(pairs) > 0, F.filter(out, lambda s: F.lit(True) if k.base else s["score"] >= LEAST_SCORE)).otherwise(none)
 
 
 def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -109,8 +113,14 @@ def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     # a cheap test of the whole text first: few texts have an @, a + or a digit
     sure = {"email": "@", "phone": "+"}
     test = lambda k: F.instr(F.col("text"), sure[k.name]) > 0 if k.name in sure else F.col("text").rlike("[0-9]")
-    proposed = read.select("*", *[F.when(test(k), F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(f"m_{k.name}") for k in kinds])
-    return proposed.select("doc_id", *[_spans(k, F.col("text"), F.col(f"m_{k.name}")).alias(k.name) for k in kinds])
+    names = [k.name for k in kinds]
+    # Step by step: an array that functions of its elements refer to is a column by then, made once.
+    step = read.select("*", *[F.when(test(k), F.regexp_extract_all("text", F.lit(k.pattern), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(f"m_{k.name}") for k in kinds])
+    step = step.select("doc_id", *[f"m_{n}" for n in names], *[F.when(F.size(f"m_{k.name}") > 0, F.split("text", k.pattern, -1)).alias(f"g_{k.name}") for k in kinds])
+    step = step.select("doc_id", *[_pairs(F.col(f"m_{n}"), F.col(f"g_{n}")).alias(f"p_{n}") for n in names])
+    step = step.select("*", *[F.transform(f"p_{n}", lambda p: p["gap"] + p["n"]).alias(f"l_{n}") for n in names])
+    step = step.select("*", *[running_total(F.col(f"l_{n}")).alias(f"e_{n}") for n in names])
+    return step.select("doc_id", *[_spans(k, F.col(f"p_{k.name}"), F.col(f"e_{k.name}")).alias(k.name) for k in kinds])
 
 
 def report(docs: DataFrame) -> DataFrame:
