@@ -1,16 +1,21 @@
-"""Line dedup on content-defined chunks of lines.
+"""Line dedup on windows of two lines, or on content-defined chunks of lines.
 
-A rolling hash over the hashes of neighbouring lines picks the chunk ends, so an
-inserted or dropped line moves only the ends near it and equal passages in
-different documents fall into equal chunks.  Chunks of several lines that occur
-again anywhere in the corpus go, all but the first, once their bytes were
-compared.
+Windows: each two neighbouring lines are a unit, so every passage of two or more
+whole lines that occurs earlier is covered by units that occur earlier and goes
+whole, wherever it starts.
+
+Chunks: a rolling hash over the hashes of neighbouring lines picks the chunk
+ends, so an inserted or dropped line moves only the ends near it and equal
+passages in different documents mostly fall into equal chunks.
+
+Units of several lines that occur again anywhere in the corpus go, all but the
+first, once their bytes were compared.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import xxhash
 from pyspark.sql import DataFrame
@@ -22,50 +27,56 @@ MASK = (1 << 64) - 1
 #: The odd multiplier of the rolling hash, and lines that it spans.
 MULTIPLIER, SPAN = 0x9E3779B97F4A7C15, 2
 
+Units = Callable[[str], list[tuple[int, int]]]
 
-def chunks(text: str, divisor: int = 4, min_lines: int = 2) -> list[tuple[int, int]]:
-    """(first line, end line) of each chunk.
 
-    A chunk ends after a line where the rolling hash of the last ``SPAN`` line
-    hashes is 0 modulo ``divisor``, once it has ``min_lines`` lines, and at the
-    end of the text.
+def chunks(text: str) -> list[tuple[int, int]]:
+    """(first line, end line) of each chunk: two or three lines, or the one line of a text.
+
+    The gaps between lines become chunk ends in the order of the rolling hash of
+    the ``SPAN`` lines around them, all that leave no chunk of one line.  That
+    is as dense as ends of chunks of several lines can be.
     """
     hashes = [xxhash.xxh3_64_intdigest(x) for x in text.encode("utf-8", "surrogatepass").split(b"\n")]
-    out, first, rolling = [], 0, 0
-    drop = pow(MULTIPLIER, SPAN, 1 << 64)
-    for i, h in enumerate(hashes):
-        rolling = (rolling * MULTIPLIER + h - (hashes[i - SPAN] * drop if i >= SPAN else 0)) & MASK
-        if i + 1 - first >= min_lines and (rolling >> 32) % divisor == 0:
-            out.append((first, i + 1))
-            first = i + 1
-    if first < len(hashes):
-        out.append((first, len(hashes)))
-    return out
-
-
-def _digests(text: str | None, min_lines: int = 2) -> Iterator[tuple[int, int, int, bytes, str]]:
-    """(number, first line, end line, digest, content) of each chunk of several lines."""
+    n = len(hashes)
+    rolling = [((a * MULTIPLIER + b) * MULTIPLIER & MASK) >> 32 for a, b in zip(hashes, hashes[1:], strict=False)]
+    ends = bytearray(n + 1)
+    ends[0] = ends[n] = 1
+    for gap in sorted(range(2, n - 1), key=lambda g: rolling[g - 1]):
+        if not (ends[gap - 1] or ends[gap + 1]):
+            ends[gap] = 1
+    at = [i for i, end in enumerate(ends) if end]
+    return list(zip(at, at[1:], strict=False))
+
+
+def windows(text: str) -> list[tuple[int, int]]:
+    """(first line, end line) of each two neighbouring lines."""
+    return [(i, i + 2) for i in range(text.count("\n"))]
+
+
+def _digests(text: str | None, units: Units, min_lines: int = 2) -> Iterator[tuple[int, int, int, bytes, str]]:
+    """(number, first line, end line, digest, content) of each unit of several lines."""
     if not text or "\n" not in text:
         return
     lines = text.split("\n")
-    for k, (a, b) in enumerate(chunks(text)):
+    for k, (a, b) in enumerate(units(text)):
         if b - a >= min_lines:
             content = "\n".join(lines[a:b])
             if content.strip("\n"):
                 yield k, a, b, xxhash.xxh3_128_digest(content.encode("utf-8", "surrogatepass")), content
 
 
-def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, k, digest) of the chunks to remove: those that a byte-equal chunk precedes."""
+def repeated_units(docs: DataFrame, scratch: Scratch, units: Units) -> DataFrame:
+    """(doc_id, k, digest) of the units to remove: those that a byte-equal unit precedes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")
 
     def number(rows: list) -> Iterator[tuple]:
         for doc_id, text in rows:
-            for k, _, _, digest, _ in _digests(text):
+            for k, _, _, digest, _ in _digests(text, units):
                 yield doc_id, k, digest
 
-    made = scratch.write(map_rows(texts, number, f"doc_id {kind}, k int, digest binary"), "chunks")
+    made = scratch.write(map_rows(texts, number, f"doc_id {kind}, k int, digest binary"), "units")
     first = made.groupBy("digest").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     first = scratch.write(first, "first")  # stored, so that the join can split a frequent digest
     members = scratch.write(made.join(first.hint("merge"), "digest"), "members")
@@ -77,7 +88,7 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     def fetch(rows: list) -> Iterator[tuple]:
         for text, ks in rows:
             ks = set(ks)
-            for k, _, _, digest, content in _digests(text):
+            for k, _, _, digest, content in _digests(text, units):
                 if k in ks:
                     yield digest, content
 
@@ -87,20 +98,25 @@ def repeated_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return out.select("doc_id", "k", "digest")
 
 
-def _join_back(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def _join_back(docs: DataFrame, scratch: Scratch, units: Units) -> DataFrame:
     """The documents' rows with an array ``__gone`` of (k, digest), null where nothing goes."""
-    gone = repeated_chunks(docs, scratch).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("k", "digest")).alias("__gone"))
+    gone = repeated_units(docs, scratch, units).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("k", "digest")).alias("__gone"))
     # Merge joins at every size: no side here has a bound, and the plan for much data is the plan for little.
     return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["__id"]), "left").drop("__id")
 
 
-def _cut(text: str | None, gone: list | None) -> tuple[list[str], list[tuple[int, int]]]:
-    """The lines left and the line spans removed; a chunk goes only where number and digest both fit."""
+def _cut(text: str | None, gone: list | None, units: Units) -> tuple[list[str], list[tuple[int, int]]]:
+    """The lines left and the line spans removed, overlapping ones as one; a unit goes only where number and digest both fit."""
     lines = (text or "").split("\n")
     if not gone:
         return lines, []
     wanted = {(g["k"], bytes(g["digest"])) for g in gone}
-    spans = [(a, b) for k, a, b, digest, _ in _digests(text) if (k, digest) in wanted]
+    spans: list[tuple[int, int]] = []
+    for k, a, b, digest, _ in _digests(text, units):
+        if (k, digest) in wanted:
+            if spans and a < spans[-1][1]:
+                a = spans.pop()[0]
+            spans.append((a, b))
     left, done = [], 0
     for a, b in spans:
         left += lines[done:a]
@@ -108,38 +124,38 @@ def _cut(text: str | None, gone: list | None) -> tuple[list[str], list[tuple[int
     return left + lines[done:], spans
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row per document: lines, chunks, what was removed by original line numbers, and the text left.
+def deduplicate(docs: DataFrame, units: Units = chunks) -> DataFrame:
+    """One row per document: lines, what was removed by original line numbers, and the text left.
 
-    The order of occurrences is by ``doc_id`` and then by place.  Chunks of one
-    line and chunks of nothing but line feeds are never removed.  A null text is
-    empty (one line).  Rows that share a ``doc_id`` count as one place, so
-    neither makes the other's chunks repeats; a null id sorts first.  Other
-    columns are ignored.
+    The order of occurrences is by ``doc_id`` and then by place.  Units of one
+    line and units of nothing but line feeds are never removed.  The first
+    occurrence of a line always stays.  A null text is empty (one line).  Rows
+    that share a ``doc_id`` count as one place, so neither makes the other's
+    units repeats; a null id sorts first.  Other columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = _join_back(docs.select("doc_id", "text"), Scratch(docs.sparkSession, "line-dedup"))
+    rows = _join_back(docs.select("doc_id", "text"), Scratch(docs.sparkSession, "line-dedup"), units)
 
     def report(rows: list) -> Iterator[tuple]:
         for doc_id, text, gone in rows:
-            left, spans = _cut(text, gone)
+            left, spans = _cut(text, gone, units)
             kept = "\n".join(left) if spans else text or ""
             yield doc_id, len((text or "").split("\n")), sum(b - a for a, b in spans), ",".join(f"{a}:{b}" for a, b in spans), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), kept
 
     return map_rows(rows, report, f"doc_id {kind}, n_lines int, n_removed_lines int, removed_lines string, kept_sha256 string, kept_text string", flush_rows=512)
 
 
-def clean(docs: DataFrame) -> DataFrame:
-    """The documents with their repeated chunks cut out, all columns kept; a text that is cut out whole takes its row with it."""
+def clean(docs: DataFrame, units: Units = chunks) -> DataFrame:
+    """The documents with their repeated units cut out, all columns kept; a text that is cut out whole takes its row with it."""
     names = docs.columns
     at = names.index("text")
-    rows = _join_back(docs, Scratch(docs.sparkSession, "line-dedup"))
+    rows = _join_back(docs, Scratch(docs.sparkSession, "line-dedup"), units)
 
     def run(batches):  # noqa: ANN001, ANN202
         import pyarrow as pa
 
         for batch in batches:
-            cut = [_cut(t, g) for t, g in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
+            cut = [_cut(t, g, units) for t, g in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
             texts = ["\n".join(left) if spans else None for left, spans in cut]
             old = batch.column(at).to_pylist()
             new = pa.array([o if n is None else n for o, n in zip(old, texts, strict=True)], batch.schema.field(at).type)

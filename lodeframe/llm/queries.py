@@ -25,7 +25,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicate(table(spark, sf_dir, "documents")).drop("kept_text")
+    return line_dedup.deduplicate(table(spark, sf_dir, "documents"), line_dedup.windows).drop("kept_text")
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,6 +149,23 @@ def lines(docs: list[tuple[int, str | None]], chunks) -> dict[int, str]:  # noqa
     return out
 
 
+def passages(docs: list[tuple[int, str | None]]) -> dict[int, str]:
+    """doc_id -> text left without the passages of two lines or more that start earlier too; of empty lines, those beside others go with them"""
+    seen, out = set(), {}
+    for d, t in sorted(docs, key=lambda r: r[0]):
+        every = (t or "").split("\n")
+        gone = set()
+        for i in range(len(every) - 1):
+            for j in range(i + 2, min(len(every), i + 13) + 1):
+                p = tuple(every[i:j])
+                if p in seen:
+                    gone |= {k for k in range(i, j) if any(every[max(i, k - 1) : min(j, k + 2)])}
+            for j in range(i + 2, min(len(every), i + 13) + 1):
+                seen.add(tuple(every[i:j]))
+        out[d] = "\n".join(x for k, x in enumerate(every) if k not in gone)
+    return out
+
+
 def host_path(url: str | None) -> tuple[str, str]:
     if url is None or "://" not in url:
         return "", ""

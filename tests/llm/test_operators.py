@@ -197,6 +197,55 @@ def test_chunks_resist_shifts():
     assert len(ends(body, 0) & ends(["new", *body], 1)) > 0.8 * len(ends(body, 0))
 
 
+def planted(rng, lengths=range(2, 13), trials=20):
+    """Two documents for each trial: one passage between 1 to 9 own lines in both."""
+    own = lambda: [f"own {rng.random()}" for _ in range(rng.randint(1, 9))]
+    docs, passages = [], []
+    for n in lengths:
+        for _ in range(trials):
+            passage = [f"passage {rng.random()}" for _ in range(n)]
+            docs += [(len(docs) + k, "\n".join(own() + passage + own())) for k in range(2)]
+            passages.append((docs[-1][0], n, passage))
+    return docs, passages
+
+
+def test_line_dedup_removes_short_passages_whole(spark):
+    docs, passages = planted(random.Random(4))
+    df = frame(spark, docs)
+    got = {r.doc_id: r.kept_text for r in line_dedup.deduplicate(df, line_dedup.windows).collect()}
+    assert got == plain.passages(docs)
+    texts = dict(docs)
+    for d, n, passage in passages:
+        assert got[d - 1] == texts[d - 1] and got[d] == "\n".join(x for x in texts[d].split("\n") if x not in passage), n
+    assert {r.doc_id: r.text for r in line_dedup.clean(df, line_dedup.windows).collect()} == got
+
+
+def test_line_dedup_windows_against_brute_force(spark, odd):
+    rng = random.Random(12)
+    for pool in (4, 40):
+        docs = [(i, "\n".join(rng.choice(["", *(f"l{k}" for k in range(pool))]) for _ in range(rng.randint(0, 12)))) for i in range(150)]
+        docs += [(1000 + i, "\n".join(docs[i][1].split("\n")[1:])) for i in range(0, 150, 3)]
+        rows = line_dedup.deduplicate(frame(spark, docs), line_dedup.windows).collect()
+        want = plain.passages(docs)
+        assert {r.doc_id: r.kept_text for r in rows} == want
+        assert all(r.n_removed_lines == sum(b - a for a, b in (map(int, x.split(":")) for x in r.removed_lines.split(",") if x)) for r in rows)
+        first = {}
+        for d, t in docs:
+            for x in t.split("\n"):
+                first.setdefault(x, d)
+        assert all(x in want[d].split("\n") for x, d in first.items())  # no line's first occurrence goes
+    got = plain.grouped((r.doc_id, r.kept_text) for r in line_dedup.deduplicate(odd, line_dedup.windows).collect())
+    want = plain.passages([(-1, ODD[16][1]), *unique(ODD)])
+    assert {d: t[0] for d, t in got.items() if d is not None} == {d: want[d] for d, _ in unique(ODD)}
+
+
+def test_chunk_ends_are_dense():
+    docs, passages = planted(random.Random(6), lengths=[6], trials=500)
+    left = plain.lines(docs, line_dedup.chunks)
+    gone = [sum(x not in left[d] for x in passage) for d, _, passage in passages]
+    assert sum(g > 0 for g in gone) > 0.75 * len(gone) and sum(gone) > 0.4 * 6 * len(gone)
+
+
 # --- 5 ------------------------------------------------------------------------
 
 
