@@ -1,26 +1,28 @@
-"""Exact removal of repeated byte strings by a distributed sort of anchored suffixes.
+"""Exact removal of repeated byte strings by a distributed merge sort of anchored suffixes.
 
 A byte is removed if a string of ``LENGTH`` bytes (a window) that covers it also
 starts earlier in the corpus.  Sorting a suffix for each byte would ship the
 corpus a hundred times over, so suffixes are taken at *anchors*: each window
 elects, of the ``GRAM``-byte strings inside it, the one of least hash.  The
-choice depends on the window's bytes alone, so equal windows elect equal anchors
-at the same place, and each window belongs to one anchor.  An anchor's context
-is all bytes of the windows that it owns.
-
-1. Every batch of documents sorts its anchors by gram and sends sorted runs of
-   them, dealt by the gram's hash; contexts that are equal inside the batch
-   go once.  What meets there tells for each anchor whether its gram is unique,
-   whether all contexts of it are equal (all but the first are removed whole),
-   or whether contexts differ.
-2. Contexts that differ are cut to front-coded sorted runs of suffixes, each
-   entry with the length of the prefix it shares with the one before.  A loser
-   tree merges the runs; it keeps the prefixes already known to be shared and
-   compares bytes beyond them only.  Windows of one gram's contexts are then
-   looked up byte for byte.
-3. A gram with many differing contexts in a batch is wide.  Its windows go by
-   themselves, as sorted runs of 128-bit digests that the same merge brings
-   together, so no task has to hold them all.
+choice depends on the window's bytes alone, so equal windows elect equal grams
+at the same place, and each window belongs to one anchor.  An anchor's entry is
+the suffix from it on, to the end of the last window that it owns, and after it
+the bytes before the anchor, read backwards.
+
+1. Hashes of grams find the anchors that can be left out: one whose gram occurs
+   nowhere else owns no repeated window.  That is all that hashes decide.
+2. The other anchors' entries are dealt by gram to cells, as front-coded sorted
+   runs: each entry has the length of the prefix that it shares with the one
+   before.  A cell's runs are merged by a loser tree that keeps the prefixes
+   already known to be shared and compares bytes beyond them only.  The shared
+   lengths give the verdicts: two entries that share all are one context, and
+   all but its first place go; where neighbours share at least a gram, the
+   shared lengths before and behind the anchor bound the windows that both have.
+3. A gram with very many different contexts is wide, which the counts of step 1
+   tell.  Each of its windows is an entry by itself, dealt by its own bytes, and
+   the same merge brings equal ones together, one place in memory at a time.
+
+Whatever is removed was compared byte by byte with an earlier place.
 """
 
 from __future__ import annotations
@@ -41,10 +43,13 @@ from .common import Scratch, map_rows
 LENGTH, GRAM = 100, 32
 GRAMS = LENGTH - GRAM + 1  # in a window
 BUFFER, SEGMENT = 1 << 19, 1 << 18  # bytes hashed at once, and of a long text
-WIDE = 64  # differing contexts of a gram in one batch
+CELL = 1 << 23  # bytes of text whose anchors meet in one cell, on average
+CROWD, WIDE = 64, 4096  # different contexts of a gram in one batch, and in all, from which on it is wide
+HELD = 1 << 17  # entries of a batch that are sorted at once
 NO_ID = -(1 << 63)  # stands for a null doc_id, and sorts first
+TIE = 30  # hexadecimal digits of a text's SHA-256 that tell documents of one id apart
 
-REPEATED, DIFFERS, SPREAD = 1, 2, 3  # what is known of an anchor
+REPEATED, SHARED, SPREAD = 1, 2, 3  # what is known of an anchor; 0: its gram is nowhere else
 
 
 # --- anchors ---------------------------------------------------------------
@@ -129,12 +134,10 @@ def _in_buffer(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, ...]:
 
 
 def _packed(*columns: np.ndarray) -> bytes:
-    """Arrays with their least sufficient unsigned types."""
+    """Arrays of integers with their least sufficient unsigned types, or 64 signed bits."""
     out = []
     for c in columns:
-        c = np.ascontiguousarray(c)
-        if c.dtype != np.uint64:
-            c = c.astype(np.int64 if len(c) and int(c.min()) < 0 else np.min_scalar_type(int(c.max()) if len(c) else 0))
+        c = c.astype(np.int64 if len(c) and int(c.min()) < 0 else np.min_scalar_type(int(c.max()) if len(c) else 0))
         out.append(struct.pack("<cI", c.dtype.char.encode(), c.nbytes) + c.tobytes())
     return b"".join(out)
 
@@ -144,128 +147,135 @@ def _unpacked(blob: bytes) -> list[np.ndarray]:
     while at < len(blob):
         kind, n = struct.unpack_from("<cI", blob, at)
         at += 5
-        c = np.frombuffer(blob, np.dtype(kind.decode()), n // np.dtype(kind.decode()).itemsize, at)
-        out.append(c if c.dtype == np.uint64 else c.astype(np.int64))
+        out.append(np.frombuffer(blob, np.dtype(kind.decode()), n // np.dtype(kind.decode()).itemsize, at).astype(np.int64))
         at += n
     return out
 
 
-def _part(gram: np.ndarray, parts: int) -> np.ndarray:
-    """Of elected grams, whose hashes are small: an even share for each part."""
-    return ((_mix(gram + np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+def _ties(ties: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The halves of hexadecimal ties, as numbers in the same order; zero for empty ones."""
+    halves = [(int(t[: TIE // 2], 16), int(t[TIE // 2 :], 16)) if t else (0, 0) for t in ties]
+    return tuple(np.array([h[k] for h in halves], np.int64) for k in (0, 1))
+
+
+def _tie(high: int, low: int) -> str:
+    return f"{high:0{TIE // 2}x}{low:0{TIE // 2}x}" if high or low else ""
 
 
 # --- 1: grams ---------------------------------------------------------------
 
 
-def _sent_grams(parts: int, most: int):  # noqa: ANN202
+def _dealt(gram: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, 40 bits of another hash) of elected grams, whose own hashes are all small."""
+    mixed = _mix(gram + np.uint64(0x9E3779B97F4A7C15))
+    return ((mixed >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64), mixed & np.uint64((1 << 40) - 1)
+
+
+def _sent_grams(cells: int, crowd: int):  # noqa: ANN202
     def run(rows: list) -> Iterator[tuple]:
-        rows = sorted(((NO_ID if d is None else d, (t or "").encode("utf-8", "surrogatepass")) for d, t in rows), key=lambda r: r[0])
-        ids, texts = np.array([r[0] for r in rows], np.int64), [r[1] for r in rows]
+        rows = sorted(((d, tie, t.encode("utf-8", "surrogatepass")) for d, tie, t in rows), key=lambda r: r[:2])
+        nth: dict[tuple[int, str], int] = {}  # rows that share an id and a tie share a text
+        for d, tie, _ in rows:
+            nth.setdefault((d, tie), len(nth))
+        own = {nth[d, tie]: t for d, tie, t in rows}
+        texts = [own[k] for k in range(len(nth))]
+        ids = np.array([k[0] for k in nth], np.int64)
+        high, low = _ties([k[1] for k in nth])
         a = anchors(texts)
         order = np.lexsort((a.context, a.gram))  # stable: by document and place within equal contexts
         gram, context = a.gram[order], a.context[order]
         new_gram = np.concatenate([[True], gram[1:] != gram[:-1]]) if len(gram) else np.empty(0, bool)
         new = new_gram.copy()
         new[1:] |= context[1:] != context[:-1]
-        # equal contexts in the batch: all but the first go whole; a repeated row is the first's place once more
-        first_of = order[new][np.cumsum(new) - 1] if len(gram) else order
-        gone = order[(ids[a.doc[order]] != ids[a.doc[first_of]]) | (a.number[order] != a.number[first_of])]
-        gone_doc, gone_number = a.doc[gone], a.number[gone]
-        differing = np.bincount(np.cumsum(new_gram) - 1, weights=new).astype(np.int64) if len(gram) else np.empty(0, np.int64)
-        wide = differing[np.cumsum(new_gram) - 1] >= most if len(gram) else np.empty(0, bool)
-        first, spread = order[new & ~wide], order[new & wide]
-        marks = gram[new_gram & wide]
-        by_doc: dict[int, list[list]] = {}
-        for at, (docs, numbers) in enumerate(((gone_doc, gone_number), (a.doc[spread], a.number[spread]))):
-            o = np.argsort(docs, kind="stable")
-            cuts = np.flatnonzero(np.diff(docs[o])) + 1
-            for d, x in zip(np.split(docs[o], cuts), np.split(numbers[o], cuts), strict=True):
-                if len(d):
-                    by_doc.setdefault(int(d[0]), [[], []])[at] = x.tolist()
-        for d, t in enumerate(texts):
-            codes = [4 * x + state for state, xs in zip((REPEATED, SPREAD), by_doc.get(d, ()), strict=False) for x in xs]
-            yield None, int(ids[d]), len(t), hashlib.sha256(t).digest(), codes, None
+        again = np.flatnonzero(~new)
+        first = order[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))[again]] if len(again) else again
+        places = a.doc, a.lo, a.hi
+        columns = [p[x].tolist() for x in (order[again], first) for p in places]
+        # equal hashes: the bytes tell
+        differ = [k for k, (d, i, j, e, u, v) in enumerate(zip(*columns, strict=True)) if texts[d][i : j + LENGTH] != texts[e][u : v + LENGTH]]
+        new[again[differ]] = True
+        gone = order[~new]
+        group = np.cumsum(new_gram) - 1
+        wide = np.bincount(group, weights=new)[group] >= crowd if len(gram) else np.empty(0, bool)
+        sent, spread = order[new & ~wide], order[new & wide]
+        codes: dict[int, list[int]] = {}
+        for state, xs in ((REPEATED, gone), (SPREAD, spread)):
+            for d, n in zip(a.doc[xs].tolist(), a.number[xs].tolist(), strict=True):
+                codes.setdefault(d, []).append(4 * n + state)
+        for d, tie, t in rows:
+            k = nth[d, tie]
+            yield None, d, tie, len(t), hashlib.sha256(t).digest(), codes.get(k, []), None
         if not len(gram):
             return
+        marks = gram[new_gram & wide]  # number 0: the gram is wide in this batch
+        at, rest = _dealt(np.concatenate([a.gram[sent], marks]), cells)
         base = int(ids[0])
-        grams = np.concatenate([a.gram[first], marks])
-        # place 0 is a mark: the gram is wide in this batch
-        columns = [grams, np.concatenate([a.context[first] >> np.uint64(16), np.zeros(len(marks), np.uint64)]), np.concatenate([ids[a.doc[first]] - base, np.zeros(len(marks), np.int64)]).astype(np.uint64), np.concatenate([a.number[first] + 1, np.zeros(len(marks), np.int64)])]
-        part = _part(grams, parts)
-        o = np.lexsort((grams, part))
-        columns, part = [c[o] for c in columns], part[o]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+        doc, none = a.doc[sent], np.zeros(len(marks), np.int64)
+        columns = [rest, np.concatenate([(a.context[sent] >> np.uint64(48)).astype(np.int64), none]), *(np.concatenate([c, none]) for c in (ids[doc] - base, high[doc], low[doc], a.number[sent] + 1))]
+        o = np.argsort(at, kind="stable")
+        columns, at = [c[o] for c in columns], at[o]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            yield int(part[i]), base, None, None, None, _run_of_grams(*(c[i:j] for c in columns))
+            rest, *others = (c[i:j] for c in columns)
+            yield int(at[i]), base, None, None, None, None, _packed((rest >> np.uint64(32)).astype(np.int64), (rest & np.uint64(0xFFFFFFFF)).astype(np.int64), *others)
 
     return run
 
 
-def _run_of_grams(g: np.ndarray, c: np.ndarray, d: np.ndarray, x: np.ndarray) -> bytes:
-    """A sorted run: grams, 48 bits of the context's hash in two columns, documents from the batch's first, numbers."""
-    low = (c & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    docs = d.astype(np.int64) if int(d.max()) < 1 << 63 else d
-    return _packed(g, (c >> np.uint64(32)).astype(np.int64), low, docs, x)
-
-
-SENT = "part int, doc_id long, n_bytes long, sha binary, codes array<long>, run binary"
-TOLD = "doc_id long, n_bytes long, sha binary, codes array<long>"
+SENT = "cell int, doc_id long, tie string, n_bytes long, sha binary, codes array<long>, run binary"
+TOLD = "doc_id long, tie string, n_bytes long, sha binary, codes array<long>"
+
+
+def _compared_grams(wide: int):  # noqa: ANN202
+    """Rows of documents pass; a cell's runs are put together and answered by (document, codes)."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.string()), ("n_bytes", pa.int64()), ("sha", pa.binary()), ("codes", pa.list_(pa.int64()))])
+
+        def answer(runs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+            for base, blob in runs:
+                top, rest, c, d, high, low, x = _unpacked(blob)
+                for to, col in zip(cols, (top << 32 | rest, c, d + base, high, low, x), strict=True):
+                    to.append(col)
+            g, c, d, high, low, x = map(np.concatenate, cols)
+            o = np.lexsort((c, g))
+            g, c, d, high, low, x = g[o], c[o], d[o], high[o], low[o], x[o]
+            new = np.concatenate([[True], g[1:] != g[:-1]])
+            group = np.cumsum(new) - 1
+            differs = new.copy()
+            differs[1:] |= c[1:] != c[:-1]
+            mark = x == 0
+            spread = (np.bincount(group, weights=mark)[group] > 0) | (np.bincount(group, weights=differs)[group] >= wide)
+            state = np.where(spread, SPREAD, np.where(np.bincount(group)[group] > 1, SHARED, 0))
+            tell = np.flatnonzero((state > 0) & ~mark)
+            o = tell[np.lexsort((low[tell], high[tell], d[tell]))]
+            d, high, low, code = d[o], high[o], low[o], 4 * (x[o] - 1) + state[o]
+            first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (high[1:] != high[:-1]) | (low[1:] != low[:-1])])) if len(d) else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(d)), pa.int32()), pa.array(code, pa.int64()))
+            ties = pa.array([_tie(h, w) for h, w in zip(high[first].tolist(), low[first].tolist(), strict=True)], pa.string())
+            n = len(first)
+            return pa.RecordBatch.from_arrays([pa.array(d[first], pa.int64()), ties, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), lists], schema=schema)
+
+        runs: dict[int, list] = {}
+        for batch in batches:
+            own = pc.is_null(batch.column("cell"))
+            docs = batch.filter(own)
+            if docs.num_rows:
+                yield pa.RecordBatch.from_arrays([docs.column(f.name).cast(f.type) for f in schema], schema=schema)
+            rest = batch.filter(pc.invert(own))
+            for cell, base, blob in zip(rest.column("cell").to_pylist(), rest.column("doc_id").to_pylist(), rest.column("run").to_pylist(), strict=True):
+                runs.setdefault(cell, []).append((base, blob))
+        while runs:
+            yield answer(runs.popitem()[1])
 
-
-def _compared_grams(batches):  # noqa: ANN001, ANN202
-    """Rows of documents pass; runs of a part are merged and answered by (document, code)."""
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary()), ("codes", pa.list_(pa.int64()))])
-
-    def answer(runs: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        cols: list[list[np.ndarray]] = [[], [], [], []]
-        for base, blob in runs:
-            g, high, low, d, x = _unpacked(blob)
-            for to, c in zip(cols, (g, high << 32 | low, d.astype(np.int64) + base, x), strict=True):
-                to.append(c)
-        g, c, d, x = map(np.concatenate, cols)
-        o = np.lexsort((x, d, c, g))
-        g, c, d, x = g[o], c[o], d[o], x[o]
-        new = np.concatenate([[True], g[1:] != g[:-1]])
-        group = np.cumsum(new) - 1
-        mark = x == 0
-        same = ~new
-        same[1:] &= (c[1:] == c[:-1]) & ~mark[:-1]
-        wide = np.bincount(group, weights=mark)[group] > 0
-        real = np.bincount(group, weights=~same & ~mark)[group]
-        start = np.flatnonzero(~same)[np.cumsum(~same) - 1]  # the first place of each context
-        same &= (d != d[start]) | (x != x[start])
-        state = np.where(wide, SPREAD, np.where(real > 1, DIFFERS, np.where(same, REPEATED, 0)))
-        tell = (state > 0) & ~mark
-        d, code = d[tell], 4 * (x[tell] - 1) + state[tell]
-        o = np.argsort(d, kind="stable")
-        d, code = d[o], code[o]
-        first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.empty(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(d)), pa.int32()), pa.array(code, pa.int64()))
-        n = len(first)
-        return pa.RecordBatch.from_arrays([pa.array(d[first], pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), lists], schema=schema)
-
-    part, runs = None, []
-    for batch in batches:
-        own = pc.is_null(batch.column("part"))
-        docs = batch.filter(own)
-        if docs.num_rows:
-            yield pa.RecordBatch.from_arrays([docs.column(f.name).cast(f.type) for f in schema], schema=schema)
-        rest = batch.filter(pc.invert(own))
-        for p, base, run in zip(rest.column("part").to_pylist(), rest.column("doc_id").to_pylist(), rest.column("run").to_pylist(), strict=True):
-            if p != part and runs:
-                yield answer(runs)
-                runs = []
-            part = p
-            runs.append((base, run))
-    if runs:
-        yield answer(runs)
+    return run
 
 
-# --- 2: contexts, front-coded runs and their merge -------------------------------
+# --- 2: front-coded runs of entries, and their merge ------------------------------
 
 
 def shared(a: bytes, b: bytes, known: int) -> int:
@@ -275,7 +285,7 @@ def shared(a: bytes, b: bytes, known: int) -> int:
     return n - (x.bit_length() + 7) // 8 if x else n
 
 
-def front_coded(entries: list[tuple[bytes, tuple[int, ...]]], columns: int) -> bytes:
+def front_coded(entries: list[tuple[bytes, list[int]]], columns: int) -> bytes:
     """A sorted run: for each string the length it shares with the one before, its length and its other bytes; then the columns of its data."""
     prefix, sizes, rest, before = [], [], [], b""
     for s, _ in entries:
@@ -344,148 +354,205 @@ def merged(runs: list[Iterator[tuple[bytes, int, tuple]]]) -> Iterator[tuple[byt
             node //= 2
 
 
-def _sent_contexts(parts: int):  # noqa: ANN202
+def _entry(b: bytes, at: int, lo: int, hi: int) -> bytes:
+    """An anchor's suffix, the bytes before it backwards, and the suffix's length, which keeps different cuts of the same bytes apart."""
+    return b[at : hi + LENGTH] + b[lo:at][::-1] + bytes([hi + LENGTH - at])
+
+
+def _sent_entries(cells: int, held: int = HELD):  # noqa: ANN202
+    """Of a batch of (doc_id, tie, text, codes): ranges of window starts that are known to be repeated, and runs of entries."""
+
     def run(rows: list) -> Iterator[tuple]:
-        contexts: dict[int, list] = {}
-        windows: dict[bytes, tuple[int, int]] = {}
-        again: dict[int, list[int]] = {}
-        base = min((r[0] for r in rows), default=0)
-        base = 0 if base == NO_ID else base
-        for doc_id, text, anchored in sorted(rows, key=lambda r: r[0]):
-            state, at, lo, hi, gram = _unpacked(anchored)
-            if not len(state):
-                continue
-            b = text.encode("utf-8", "surrogatepass")
-            for s, a, i, j, g, part in zip(state.tolist(), at.tolist(), lo.tolist(), hi.tolist(), gram.tolist(), _part(gram, parts).tolist(), strict=True):
-                if s == DIFFERS:
-                    # gram first, then the bytes from it on, then those before it
-                    contexts.setdefault(part, []).append((g.to_bytes(8, "big") + b[a : j + LENGTH] + b[i:a], (doc_id - base, i, j, a - i)))
+        rows = sorted(((d, tie, t.encode("utf-8", "surrogatepass"), codes) for d, tie, t, codes in rows), key=lambda r: r[:2])
+        base = rows[0][0] if rows[-1][0] - rows[0][0] < 1 << 62 else 0
+        contexts: dict[bytes, tuple] = {}
+        windows: dict[bytes, tuple] = {}
+
+        def flushed() -> Iterator[tuple]:
+            dealt: dict[tuple[int, int], list] = {}
+            for s, (cell, *data) in contexts.items():
+                dealt.setdefault((cell, SHARED), []).append((s, data))
+            for w, data in windows.items():
+                dealt.setdefault((xxhash.xxh3_64_intdigest(w) * cells >> 64, SPREAD), []).append((w, data))
+            contexts.clear(), windows.clear()
+            for (cell, kind), entries in dealt.items():
+                entries.sort()
+                yield cell, base, None, None, None, kind, front_coded(entries, 6 if kind == SHARED else 4)
+
+        every = anchors([r[2] for r in rows])
+        starts = np.searchsorted(every.doc, np.arange(len(rows) + 1))
+        for k, (doc_id, tie, b, codes) in enumerate(rows):
+            code = np.unique(np.asarray(codes, np.int64))
+            number, state = code >> 2, code & 3
+            # the last code of an anchor counts; codes of an equal row can repeat
+            last = np.append(number[1:] != number[:-1], True)
+            number, state = number[last], state[last]
+            at, lo, hi = (c[starts[k] : starts[k + 1]][number] for c in (every.at, every.lo, every.hi))
+            cell, _ = _dealt(every.gram[starts[k] : starts[k + 1]][number], cells)
+            (high,), (low,) = (c.tolist() for c in _ties([tie]))
+            gone: list[tuple[int, int]] = []
+            for s, a, i, j, c in zip(state.tolist(), at.tolist(), lo.tolist(), hi.tolist(), cell.tolist(), strict=True):
+                if s == REPEATED:
+                    gone.append((i, j))
+                elif s == SHARED:
+                    own = (c, doc_id - base, high, low, i, j, a - i)
+                    if contexts.setdefault(_entry(b, a, i, j), own)[1:5] != own[1:5]:
+                        gone.append((i, j))
                 else:
                     for p in range(i, j + 1):
-                        digest = xxhash.xxh3_128_digest(b[p : p + LENGTH])
-                        if windows.setdefault(digest, (doc_id, p)) != (doc_id, p):
-                            again.setdefault(doc_id, []).append(p)
-        for doc_id, places in again.items():
-            for i, j in _ranges(sorted(places)):
-                yield None, doc_id, i, j, None, None
-        for part, entries in contexts.items():
-            entries.sort()
-            yield part, base, None, None, DIFFERS, front_coded(entries, 4)
-        spread: dict[int, list] = {}
-        for digest, (doc_id, p) in windows.items():
-            spread.setdefault(int.from_bytes(digest[:4], "big") * parts >> 32, []).append((digest, (doc_id - base, p)))
-        for part, entries in spread.items():
-            entries.sort()
-            yield part, base, None, None, SPREAD, front_coded(entries, 2)
+                        own = (doc_id - base, high, low, p)
+                        if windows.setdefault(b[p : p + LENGTH], own) != own:
+                            gone.append((p, p))
+                if len(contexts) + len(windows) >= held:
+                    yield from flushed()
+            for i, j in _joined(gone):
+                yield None, doc_id, tie, i, j, None, None
+        yield from flushed()
 
     return run
 
 
-def _ranges(places: list[int]) -> Iterator[tuple[int, int]]:
+def _joined(ranges: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Ranges of starts, those that touch put together."""
+    ranges.sort()
     first = last = None
-    for p in places:
+    for i, j in ranges:
         if first is None:
-            first = last = p
-        elif p <= last + 1:
-            last = max(last, p)
+            first, last = i, j
+        elif i <= last + 1:
+            last = max(last, j)
         else:
             yield first, last
-            first = last = p
+            first, last = i, j
     if first is not None:
         yield first, last
 
 
-RUNS = "part int, doc_id long, first long, last long, kind int, run binary"
-
-
-def _compared_contexts(batches):  # noqa: ANN001, ANN202
+RUNS = "cell int, doc_id long, tie string, first long, last long, kind int, run binary"
+FOUND = "doc_id long, tie string, first long, last long"
+
+
+class _Group:
+    """The different contexts of one gram, in the order of the merge."""
+
+    def __init__(self) -> None:
+        self.entries: list[tuple[bytes, int, int]] = []  # entry, length of its suffix, length shared with the one before
+        self.places: list[tuple[int, int, int, int, int, int]] = []  # the first place: document, tie, first and last window, bytes before the anchor
+
+    def repeated(self) -> Iterator[tuple[tuple, int, int]]:
+        """(place, first, last): windows that an earlier place has too."""
+        if len(self.entries) > 8:
+            yield from self._by_length()
+        elif len(self.entries) > 1:
+            yield from self._by_pairs()
+
+    def _own(self, k: int) -> tuple[int, int]:
+        """Least and greatest number of bytes before the anchor in the windows that a place owns."""
+        *_, i, j, left = self.places[k]
+        return left - (j - i), left
+
+    def _by_pairs(self) -> Iterator[tuple[tuple, int, int]]:
+        for k in range(len(self.entries)):
+            behind = self.entries[k][1]
+            for m in range(k + 1, len(self.entries)):
+                s, size, both = self.entries[m]
+                behind = min(behind, both)
+                reach = min(behind, size)  # bytes that both suffixes share
+                (a, b), (c, d) = self._own(k), self._own(m)
+                before = shared(self.entries[k][0][self.entries[k][1] : -1], s[size:-1], 0)
+                low, high = max(LENGTH - reach, a, c), min(before, b, d)
+                if low <= high:
+                    later = max(self.places[k], self.places[m])
+                    anchor = later[3] + later[5]
+                    yield later, anchor - high, anchor - low
+
+    def _by_length(self) -> Iterator[tuple[tuple, int, int]]:
+        """For each number of bytes before the anchor: neighbours that share the rest of the window behind it form runs, and equal bytes before it classes in a run."""
+        own = [self._own(k) for k in range(len(self.entries))]
+        for n in range(min(a for a, _ in own), max(b for _, b in own) + 1):
+            firsts: dict[tuple[int, bytes], tuple] = {}
+            nth = 0
+            for (s, size, both), place, (a, b) in zip(self.entries, self.places, own, strict=True):
+                nth += both < LENGTH - n
+                if not a <= n <= b:
+                    continue
+                key = nth, s[size : size + n]
+                first = firsts.setdefault(key, place)
+                if first is not place:
+                    firsts[key], later = (first, place) if first < place else (place, first)
+                    yield later, later[3] + later[5] - n, later[3] + later[5] - n
+
+
+def compared_contexts(runs: list[tuple[int, bytes]]) -> Iterator[tuple[tuple, int, int]]:
+    """(place, first, last) of the windows in merged runs of contexts that an earlier place has too."""
+    bases, group = [r[0] for r in runs], _Group()
+    for s, known, r, (d, *rest) in merged([decoded(r[1]) for r in runs]):
+        place = (d + bases[r], *rest)
+        if known == len(s) and group.entries:  # the same context: all but the first place go
+            first = group.places[-1]
+            if place[:4] != first[:4]:
+                group.places[-1], later = (first, place) if first < place else (place, first)
+                yield later, later[3], later[4]
+            continue
+        if known < GRAM:
+            yield from group.repeated()
+            group = _Group()
+        group.entries.append((s, s[-1], known))
+        group.places.append(place)
+    yield from group.repeated()
+
+
+def compared_windows(runs: list[tuple[int, bytes]]) -> Iterator[tuple[tuple, int, int]]:
+    """The same of merged runs of single windows; one place is held."""
+    bases, first = [r[0] for r in runs], None
+    for s, known, r, (d, *rest) in merged([decoded(r[1]) for r in runs]):
+        place = (d + bases[r], *rest)
+        if known < len(s) or first is None:
+            first = place
+        elif place != first:
+            first, later = (first, place) if first < place else (place, first)
+            yield later, later[3], later[3]
+
+
+def _compared_entries(batches):  # noqa: ANN001, ANN202
     import pyarrow as pa
 
-    schema = pa.schema([("doc_id", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
-    out: list[tuple[int, int, int]] = []
+    types = pa.int64(), pa.string(), pa.int64(), pa.int64()
+    out: list[tuple] = []
 
     def rows() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], schema=schema)
+        by_doc: dict[tuple, list] = {}
+        for place, i, j in out:
+            by_doc.setdefault(place[:3], []).append((i, j))
         out.clear()
-        return made
-
-    def one_gram(group: list[tuple[int, int, int, int, bytes]]) -> None:
-        seen: set[bytes] = set()
-        for doc_id, i, j, left, s in sorted(set(group)):
-            context = s[len(s) - left :] + s[8 : len(s) - left]
-            places = []
-            for k in range(j - i + 1):
-                w = context[k : k + LENGTH]
-                if w in seen:
-                    places.append(i + k)
-                else:
-                    seen.add(w)
-            out.extend((doc_id, *r) for r in _ranges(places))
-
-    def answer(kind: int, runs: list[tuple[int, bytes]]) -> None:
-        bases = [r[0] for r in runs]
-        group: list = []
-        for s, known, r, data in merged([decoded(r[1]) for r in runs]):
-            if kind == DIFFERS:
-                if known < 8 and group:
-                    one_gram(group)
-                    group = []
-                d, i, j, left = data
-                group.append((d + bases[r], i, j, left, s))
-            else:
-                if known < len(s) and group:
-                    out.extend((d, p, p) for d, p in sorted(set(group))[1:])
-                    group = []
-                group.append((data[0] + bases[r], data[1]))
-        if kind == DIFFERS:
-            if group:
-                one_gram(group)
-        else:
-            out.extend((d, p, p) for d, p in sorted(set(group))[1:])
+        made = [(d, _tie(high, low), i, j) for (d, high, low), found in by_doc.items() for i, j in _joined(found)]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in made], t) for i, t in enumerate(types)], names=["doc_id", "tie", "first", "last"])
 
-    cell, runs = None, []
+    runs: dict[tuple[int, int], list] = {}
     for batch in batches:
-        for part, doc_id, first, last, kind, run in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if part is None:
-                out.append((doc_id, first, last))
-                continue
-            if (part, kind) != cell and runs:
-                answer(cell[1], runs)
-                runs = []
-            cell = part, kind
-            runs.append((doc_id, run))
-            if len(out) > 50_000:
+        own = batch.filter(batch.column("cell").is_null())
+        if own.num_rows:
+            yield own.select(["doc_id", "tie", "first", "last"])
+        rest = batch.filter(batch.column("cell").is_valid())
+        for cell, doc_id, kind, run in zip(*(rest.column(c).to_pylist() for c in ("cell", "doc_id", "kind", "run")), strict=True):
+            runs.setdefault((cell, kind), []).append((doc_id, run))
+    while runs:
+        (_, kind), parts = runs.popitem()
+        for found in (compared_contexts if kind == SHARED else compared_windows)(parts):
+            out.append(found)
+            if len(out) > 100_000:
                 yield rows()
-        if out:
-            yield rows()
-    if runs:
-        answer(cell[1], runs)
     yield rows()
 
 
 # --- the operator -----------------------------------------------------------
 
 
-def _anchored(rows: list) -> Iterator[tuple]:
-    """Windows known to be repeated, as ranges of starts, and the anchors still to compare."""
-    for doc_id, text, codes in rows:
-        b = text.encode("utf-8", "surrogatepass")
-        a = anchors([b])
-        states = np.zeros(len(a.lo), np.int64)
-        for code in codes:
-            if code // 4 < len(states):
-                states[code // 4] = code % 4
-        gone, rest = states == REPEATED, np.flatnonzero(states > REPEATED)
-        yield doc_id, text, _packed(a.lo[gone], a.hi[gone]), _packed(states[rest], a.at[rest], a.lo[rest], a.hi[rest], a.gram[rest])
-
-
 def _cut(rows: list) -> Iterator[tuple]:
-    for doc_id, text, gone, ranges in rows:
+    for doc_id, text, ranges in rows:
         b = text.encode("utf-8", "surrogatepass")
-        lo, hi = _unpacked(gone)
-        starts = sorted([*zip(lo.tolist(), hi.tolist(), strict=True), *((r["first"], r["last"]) for r in ranges or ())])
         spans: list[list[int]] = []
-        for i, j in starts:
+        for i, j in sorted((r["first"], r["last"]) for r in ranges):
             if spans and i <= spans[-1][1]:
                 spans[-1][1] = max(spans[-1][1], j + LENGTH)
             else:
@@ -501,33 +568,46 @@ def _cut(rows: list) -> Iterator[tuple]:
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>"
 
 
-def deduplicate(docs: DataFrame, wide: int = WIDE) -> DataFrame:
+def deduplicate(docs: DataFrame, crowd: int = CROWD, wide: int = WIDE, cell_bytes: int = CELL) -> DataFrame:
     """One row per document: bytes, bytes removed, maximal removed runs, digest of what is left, and the runs' ends.
 
     Earlier is by ``doc_id``, then by start; strings never cross documents and
     are judged on the input.  Texts are UTF-8.  A null or empty text has no
-    bytes; texts under ``LENGTH`` bytes lose nothing.  A null ``doc_id`` sorts
-    before all others.  Rows that share a ``doc_id`` and text are one place in
-    that order: they lose the same bytes, and none to each other; ids with
-    several texts are not supported beyond not failing.  An empty table gives no
-    rows.  Other columns are ignored.
+    bytes; texts under ``LENGTH`` bytes lose nothing.  ``doc_id`` is cast to
+    long; null, and what can't be cast, sorts before all others.  Documents that
+    share a ``doc_id`` but not the text come in the order of their texts' SHA-256.
+    Rows that share both are one place: they lose the same bytes, and none to
+    each other.  An empty table gives no rows.  Other columns are ignored.
+
+    Cells grow in number with the bytes of all texts, so that a task holds the
+    runs of some ``cell_bytes`` of text at any size of the corpus; what equal
+    contexts or windows add to a cell is at most one entry a batch.  A very long
+    text is hashed in segments, and the entries of a batch are sorted and sent
+    ``HELD`` at a time; a task holds the texts of an Arrow batch, or one text.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffixes")
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    deal = F.coalesce("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
-    sent = map_rows(texts, _sent_grams(parts, wide), SENT, flush_rows=64)
-    told = sent.repartition(deal).sortWithinPartitions("part").mapInArrow(_compared_grams, TOLD)
-    known = told.groupBy("doc_id").agg(F.flatten(F.collect_list("codes")).alias("codes"), F.max("n_bytes").alias("n_bytes"), F.count("n_bytes").alias("n"), F.first("sha", ignorenulls=True).alias("sha"))
+    base = docs.select(F.coalesce(F.expr("try_cast(doc_id as long)"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    n_bytes = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = 1 + n_bytes // cell_bytes
+    # Ids that several rows have are told apart by their texts.
+    several = scratch.write(base.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("s")), "several")
+    if several.isEmpty():
+        texts = base.select("doc_id", F.lit("").alias("tie"), "text")
+    else:
+        tie = F.when(F.col("s").isNotNull(), F.left(F.sha2("text", 256), F.lit(TIE))).otherwise(F.lit(""))
+        texts = base.join(several, base["doc_id"] == several["s"], "left").select("doc_id", tie.alias("tie"), "text")
+    deal = lambda df: df.repartitionById(cells, F.coalesce("cell", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(cells)).cast("int")))
+    told = deal(map_rows(texts, _sent_grams(cells, crowd), SENT, flush_rows=64)).mapInArrow(_compared_grams(wide), TOLD)
+    known = told.groupBy("doc_id", "tie").agg(F.flatten(F.collect_list("codes")).alias("codes"), F.max("n_bytes").alias("n_bytes"), F.count("n_bytes").alias("n"), F.first("sha", ignorenulls=True).alias("sha"))
     known = scratch.write(known, "known")
+    on = lambda side: [F.col("doc_id") == F.col(f"{side}_id"), F.col("tie") == F.col(f"{side}_tie")]
+    named = lambda df, side, *cols: df.select(F.col("doc_id").alias(f"{side}_id"), F.col("tie").alias(f"{side}_tie"), *cols)
+    coded = texts.join(named(known.where(F.size("codes") > 0), "k", "codes").hint("merge"), on("k")).select("doc_id", "tie", "text", "codes")
+    found = deal(map_rows(coded, _sent_entries(cells), RUNS, flush_rows=256)).mapInArrow(_compared_entries, FOUND)
+    ranges = scratch.write(found.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("first", "last")).alias("ranges")), "ranges")
     # a text without a repeat is done
-    whole = known.where(F.size("codes") == 0).select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lower(F.hex("sha")).alias("kept_sha256"), F.array().cast("array<long>").alias("spans"), F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))).alias("copy")).drop("copy")
-    named = texts.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    marked = named.join(known.where(F.size("codes") > 0).select(F.col("doc_id").alias("k"), "codes").hint("merge"), F.col("doc_id") == F.col("k")).select("doc_id", "text", "codes")
-    marked = scratch.write(map_rows(marked, _anchored, "doc_id long, text string, gone binary, anchored binary", flush_rows=256), "marked")
-    runs = map_rows(marked.where(F.length("anchored") > 25).select("doc_id", "text", "anchored"), _sent_contexts(parts), RUNS, flush_rows=256)
-    found = runs.repartition(F.coalesce("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))).sortWithinPartitions("part", "kind").mapInArrow(_compared_contexts, "doc_id long, first long, last long")
-    found = found.groupBy(F.col("doc_id").alias("f")).agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
-    rows = marked.join(found.hint("merge"), F.col("doc_id") == F.col("f"), "left").select("doc_id", "text", "gone", "ranges")
+    whole = known.join(named(ranges, "r").hint("merge"), on("r"), "left_anti")
+    whole = whole.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lower(F.hex("sha")).alias("kept_sha256"), F.array().cast("array<long>").alias("spans"), F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))).alias("copy")).drop("copy")
+    rows = texts.join(named(ranges, "r", "ranges").hint("merge"), on("r")).select("doc_id", "text", "ranges")
     return whole.unionByName(map_rows(rows, _cut, REPORT))

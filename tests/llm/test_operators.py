@@ -253,11 +253,11 @@ def removed(df):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(df).collect()}
 
 
-@pytest.mark.parametrize("wide", [2, 64])
-def test_suffix_dedup(spark, wide):
+@pytest.mark.parametrize("more", [{}, {"crowd": 2}, {"wide": 2}, {"wide": 3, "cell_bytes": 5_000}, {"cell_bytes": 20_000}])
+def test_suffix_dedup(spark, more):
     docs = mixed(21, n=150, words=80)
     df = frame(spark, docs).repartition(5)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(df, wide=wide).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(df, **more).collect()}
     assert got == plain.suffixes(docs)
     assert sum(x[1] for x in got.values()) > 1000
 
@@ -270,6 +270,54 @@ def test_suffix_dedup_odd(odd, none, spark):
     assert suffix_dedup.deduplicate(none).count() == 0
 
 
+#: Different texts of equal length that a polynomial hash modulo 2**64 with the base of ``anchors`` takes for the same.
+COLLISION = "aaafgdaacadabaaaaaaa", "cegaaaacaaaaabacfcaa"
+
+
+def test_suffix_dedup_compares_bytes(spark):
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    sums = suffix_dedup._powers()[0][:20]
+    a, b = (int(((np.frombuffer(x.encode(), np.uint8).astype(np.uint64) + np.uint64(1)) * sums).sum()) for x in COLLISION)
+    assert a == b
+    docs = []
+    for _ in range(20):
+        before, after = letters(80), letters(80)
+        docs += [(len(docs) + k, before + x + after) for k, x in enumerate(COLLISION)]
+    for parts in (1, 7):
+        assert removed(frame(spark, docs).repartition(parts)) == plain.suffixes(docs)
+    assert not any(r[1] for r in plain.suffixes(docs).values())
+
+
+def test_suffix_dedup_of_many_contexts(spark):
+    """A gram between differing neighbours on both sides: pairs, classes by length, and windows agree."""
+    rng = random.Random(13)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    core, sides = letters(50), [letters(60) for _ in range(12)]
+    docs = [(i, rng.choice(sides)[rng.randint(0, 30) :] + core + rng.choice(sides)[: rng.randint(20, 60)]) for i in range(60)]
+    want = plain.suffixes(docs)
+    assert sum(r[1] > 0 for r in want.values()) > 20
+    for more in ({}, {"crowd": 3}, {"wide": 5}):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(frame(spark, docs).repartition(3), **more).collect()}
+        assert got == want
+
+
+def test_suffix_dedup_texts_that_share_an_id(spark):
+    """Each text of an id is a document of its own; the passage's first place stays."""
+    docs = [(7, PASSAGE), (7, "other " + PASSAGE + " tail"), (None, "nobody's " + PASSAGE), (None, PASSAGE + " end"), (8, PASSAGE)]
+    named = sorted(docs, key=lambda r: (-1 if r[0] is None else r[0], plain.sha(r[1])))
+    want = sorted(plain.suffixes([(k, t) for k, (_, t) in enumerate(named)]).values())
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(frame(spark, docs).repartition(4)).collect())
+    assert got == want and sum(r[1] == 0 for r in got) == 1
+
+
+def test_suffix_dedup_of_long_texts(spark):
+    rng = random.Random(14)
+    long = "".join(rng.choice("abcdefghij ") for _ in range(2 * suffix_dedup.SEGMENT + 70_000))
+    docs = [(1, long), (2, "x" + long[1000:300_000] + "y" + long[400_000:]), (3, long[suffix_dedup.SEGMENT - 150 : suffix_dedup.SEGMENT + 150]), (4, "z" * 300_000)]
+    assert removed(frame(spark, docs).repartition(4)) == plain.suffixes(docs)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.lists(st.text(alphabet="ab", max_size=9).map(str.encode), max_size=8), max_size=6))
 def test_loser_tree(lists):
