@@ -107,6 +107,14 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
+def unused(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores before it as no column in ``taken`` has; names differ in more than case."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(c):  # noqa: ANN001, ANN201
     """A-Z only; other letters stay."""
     return F.translate(c, UPPER, LOWER)

@@ -530,6 +530,36 @@ def test_contamination(spark, per_block):
     check_contamination(spark, docs, ITEMS, per_block=per_block)
 
 
+@pytest.mark.parametrize("per_block", [1, 4, 200_000])
+def test_one_block_of_patterns_lives_at_a_time(spark, per_block, monkeypatch):
+    alive, most, made = set(), [], spark.sparkContext.broadcast
+
+    def broadcast(value):
+        b = made(value)
+        alive.add(id(b))
+        most.append(len(alive))
+        destroy = b.destroy
+        b.destroy = lambda blocking=False: (alive.discard(id(b)), destroy(blocking))
+        assert sum(max(1, len(items)) for items in value.values()) <= per_block
+        return b
+
+    monkeypatch.setattr(spark.sparkContext, "broadcast", broadcast)
+    docs, bench = frame(spark, ODD[5:9]), spark.createDataFrame(ITEMS, "item_id long, text string")
+    for search in (decontam.contamination, decontam.decontaminate):
+        report = search(docs, bench, per_block=per_block)
+        assert max(most) == 1 and len(most) >= (per_block < 9) * 2
+        plan = report._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") <= 2  # one search, and one step that joins what passes before it hit
+        alive.clear(), most.clear()
+
+
+def test_decontaminate_in_blocks(spark, odd):
+    bench = spark.createDataFrame(ITEMS + [(20, PASSAGE)], "item_id long, text string")
+    rows = lambda df: sorted(map(str, df.collect()))
+    want = rows(decontam.decontaminate(odd, bench))
+    assert want and len(want) < len(ODD) and rows(decontam.decontaminate(odd, bench, per_block=7)) == want
+
+
 def test_contamination_odd(spark, odd, none):
     check_contamination(spark, ODD, [(1, PASSAGE), (2, LONG[:3000])])
     check_contamination(spark, ODD, [])
