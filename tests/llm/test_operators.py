@@ -125,13 +125,62 @@ def test_quality_is_native(odd):
 # --- 3 ------------------------------------------------------------------------
 
 
-def test_token_counts(odd, none):
-    got = Counter((r.doc_id, r.n_tokens) for r in tokens.counts(odd).collect())
-    encode = tokens.encoder(special=False)
-    assert got == Counter((d, len(encode(t or ""))) for d, t in ODD)
+def plain_encoder(special=True):
+    """The tokenizer file itself."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    made.encode_special_tokens = not special
+    return lambda text: made.encode(text, add_special_tokens=False).ids
+
+
+def test_token_counts(spark, odd, none):
+    encode = plain_encoder(special=False)
+    for docs, df in ((ODD, odd), (SMALL := mixed(3, n=120), frame(spark, SMALL).repartition(3))):
+        got = Counter((r.doc_id, r.n_tokens) for r in tokens.counts(df).collect())
+        assert got == Counter((d, len(encode(t or ""))) for d, t in docs)
     assert tokens.counts(none).count() == 0
 
 
+def documents_in(ids, end):
+    """(ordinal, start, n_tokens, closed) in one list of ids"""
+    ends = [i for i, x in enumerate(ids) if x == end]
+    starts = [0, *[e + 1 for e in ends]]
+    out = [(k, s, e - s, True) for k, (s, e) in enumerate(zip(starts, ends, strict=False))]
+    return out + ([(len(ends), starts[-1], len(ids) - starts[-1], False)] if starts[-1] < len(ids) else [])
+
+
+@pytest.mark.parametrize("dtype,end,split", [("<u2", 50256, 5), ("<u2", 257, 7), ("<u2", 0xBBEF, 9), ("<u4", 0, 11), ("<u4", 65537, 9)])
+def test_token_scan_of_any_split(spark, tmp_path, dtype, end, split):
+    """Splits at any byte; ids whose bytes hold the separator's out of step; byte order marks; torn ends."""
+    rng = random.Random(split)
+    width = int(dtype[-1])
+    sep = end.to_bytes(width, "little")
+    pool = [end, end, end ^ 1, int.from_bytes(sep[1:] + sep[:1], "little"), end >> 8 | (end & 255) << 8 * (width - 1), 0xBBEF, 0xBF, 7, 0]
+    files = {}
+    for k in range(4):
+        ids = [rng.choice(pool) for _ in range(rng.randint(15, 25))]
+        files[f"{k}.bin"] = ids = [0xBBEF, 0x12BF, *ids] if k % 2 == 0 and width == 2 else ids
+        (tmp_path / f"{k}.bin").write_bytes(np.array(ids, dtype).tobytes() + b"\x07" * (k % width))
+    got = sorted(map(tuple, tokens.scan_token_files(spark, str(tmp_path), end=end, dtype=dtype, block=split / width).collect()))
+    assert got == sorted((name, *row) for name, ids in files.items() for row in documents_in(ids, end))
+
+
+def test_a_large_token_file_is_read_by_several_tasks(spark, tmp_path):
+    ids = np.random.Generator(np.random.PCG64(1)).integers(0, 2000, 300_000)
+    (tmp_path / "one.bin").write_bytes(ids.astype("<u2").tobytes())
+    parts = tokens._pieces(spark, str(tmp_path), b"\x07\x00")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+    try:
+        assert parts.select(F.spark_partition_id().alias("p"), "split").distinct().count() == 6
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    got = sorted(tuple(r)[1:] for r in tokens.scan_token_files(spark, str(tmp_path), end=7, block=50_000).collect())
+    assert got == documents_in(ids.tolist(), 7) and spark.conf.get("spark.sql.files.maxPartitionBytes") == kept
+
+
 @pytest.mark.parametrize("block", [1, 2, 3, 7, 100])
 def test_token_scan(spark, tmp_path, block):
     rng = random.Random(block)
