@@ -55,17 +55,25 @@ class Scratch:
             root = tempfile.mkdtemp(prefix="lodeframe-")
             spark.sparkContext.setCheckpointDir(root)
         self.path = f"{root.rstrip('/')}/lodeframe-{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
         atexit.register(self.drop)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        self.names.add(name)
         return self.read(name, df)
 
     def read(self, name: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(f"{self.path}/{name}")
 
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these."""
+        for name in self.names - set(names):
+            self.drop(name)
+
     def drop(self, name: str = "") -> None:
         """Deletes one table, or all of them; later reads of them fail."""
+        self.names -= {name} if name else self.names
         try:
             jvm = self.spark.sparkContext._jvm
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)

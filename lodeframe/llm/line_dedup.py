@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_rows
+from .common import Scratch, map_rows, unused
 
 MASK = (1 << 64) - 1
 #: The odd multiplier of the rolling hash, and lines that it spans.
@@ -99,10 +99,12 @@ def repeated_units(docs: DataFrame, scratch: Scratch, units: Units) -> DataFrame
 
 
 def _join_back(docs: DataFrame, scratch: Scratch, units: Units) -> DataFrame:
-    """The documents' rows with an array ``__gone`` of (k, digest), null where nothing goes."""
-    gone = repeated_units(docs, scratch, units).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("k", "digest")).alias("__gone"))
+    """The documents' rows and, as a last column, an array of (k, digest), null where nothing goes."""
+    key, last = unused("id", docs.columns), unused("gone", docs.columns)
+    gone = repeated_units(docs, scratch, units).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("k", "digest")).alias(last))
+    scratch.keep("members", "differ")
     # Merge joins at every size: no side here has a bound, and the plan for much data is the plan for little.
-    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone["__id"]), "left").drop("__id")
+    return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone[key]), "left").drop(key)
 
 
 def _cut(text: str | None, gone: list | None, units: Units) -> tuple[list[str], list[tuple[int, int]]]:
@@ -131,7 +133,9 @@ def deduplicate(docs: DataFrame, units: Units = chunks) -> DataFrame:
     line and units of nothing but line feeds are never removed.  The first
     occurrence of a line always stays.  A null text is empty (one line).  Rows
     that share a ``doc_id`` count as one place, so neither makes the other's
-    units repeats; a null id sorts first.  Other columns are ignored.
+    units repeats; a null id sorts first.  A very long text takes memory for its
+    lines, one text at a time.  An empty table gives no rows.  Other columns are
+    ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = _join_back(docs.select("doc_id", "text"), Scratch(docs.sparkSession, "line-dedup"), units)
@@ -146,7 +150,10 @@ def deduplicate(docs: DataFrame, units: Units = chunks) -> DataFrame:
 
 
 def clean(docs: DataFrame, units: Units = chunks) -> DataFrame:
-    """The documents with their repeated units cut out, all columns kept; a text that is cut out whole takes its row with it."""
+    """The documents with their repeated units cut out, all columns kept; a text that is cut out whole takes its row with it.
+
+    Null and empty texts stay; for the rest as ``deduplicate``.
+    """
     names = docs.columns
     at = names.index("text")
     rows = _join_back(docs, Scratch(docs.sparkSession, "line-dedup"), units)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_rows
+from .common import Scratch, map_rows, unused
 
 #: A-Z become a-z, white space a blank; other bytes stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 32 or 9 <= b <= 13 else b for b in range(256))
@@ -178,9 +178,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         least = F.least("label", "upper")
         step = step.join(up.hint("merge"), F.col("label") == F.col("up")).select("node", least.alias("label"), (least < F.col("old")).alias("moved"))
         step = scratch.write(step, f"{name}-{at}")
-        moved = step.where("moved").isEmpty()
+        settled = step.where("moved").isEmpty()
         labels = step.drop("moved")
-        if moved:
+        scratch.drop(f"{name}-{at - 1}"), scratch.drop(f"{name}-step-{at}")
+        if settled:
             return labels
 
 
@@ -264,7 +265,8 @@ def _cross_candidates(cells: DataFrame, reps: DataFrame, percent: int, dense: in
         place, cell, members, pairs, out = None, None, 0, [], []
 
         def close() -> None:
-            out.extend(pairs if len(pairs) <= dense * members else [(None, None, None, *place)])
+            # a list that stopped growing isn't whole, so its cell is verified in place whatever its members
+            out.extend(pairs if len(pairs) <= min(dense * members, most) else [(None, None, None, *place)])
             pairs.clear()
 
         for batch in batches:
@@ -276,7 +278,7 @@ def _cross_candidates(cells: DataFrame, reps: DataFrame, percent: int, dense: in
                 members += 1
                 if role == 0:
                     cell.add(doc_id, label, sig)
-                elif len(pairs) <= dense * block_limit:
+                elif len(pairs) <= most:
                     pairs += [(cell.ids[k], doc_id, int(m), *place) for k, m in zip(*cell.partners(doc_id, label, sig, in_major), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=names)
             out.clear()
@@ -284,7 +286,7 @@ def _cross_candidates(cells: DataFrame, reps: DataFrame, percent: int, dense: in
             close()
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=names)
 
-    block_limit = 1 << 14  # members of a cell are far fewer: past this a cell is dense for certain
+    most = 1 << 16  # pairs in memory
     return rows.mapInArrow(stream, "a long, b long, matches int, band int, key long, i int, j int")
 
 
@@ -345,11 +347,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5) -> DataFrame
 
     A null text or one without words has no shingles and is linked with nothing.
     A row with a null ``doc_id`` can't be named in a link: it is linked with
-    nothing and kept.  Rows that repeat a ``doc_id`` are one document.  An empty
-    table gives no rows.  Only ``doc_id`` and ``text`` are read.
+    nothing and kept; ids are cast to long, null if that can't be.  Rows that
+    repeat a ``doc_id`` are one document.  A very long text takes memory for its
+    words and shingles, one text at a time.  An empty table gives no rows.  Only
+    ``doc_id`` and ``text`` are read.
+
+    Sets are sets of 64-bit hashes of shingles: two different shingles of a pair
+    of documents with 10,000 each have equal hashes with probability 1e-11.
     """
     scratch = Scratch(docs.sparkSession, "near-duplicates")
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.expr("try_cast(doc_id as long)").alias("doc_id"), "text")
     made = scratch.write(features(docs, n), "features")
     full = made.where("doc_id is not null and n_shingles > 0")
     classes = scratch.write(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")  # stored, so that the join can split a large class
@@ -382,6 +389,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = 5) -> DataFrame
             labels = components(links, scratch, "dense")
         few = cross.where("a is not null").select("a", "b", "matches")
         labels = _joined(scratch.write(few.join(pairs.hint("merge"), ["a", "b"], "left_anti"), "few"), links, labels, texts, percent, scratch)
+    labels = scratch.write(labels, "labels")
+    scratch.keep("features", "members", "labels")
     known = member.join(labels.hint("merge"), F.col("rep") == F.col("node"), "left").select(F.col("doc_id").alias("m"), F.coalesce("label", "rep").alias("component"))
     out = made.join(known.hint("merge"), F.col("doc_id") == F.col("m"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -413,10 +422,12 @@ def _joined(cross: DataFrame, links: DataFrame, labels: DataFrame, texts: DataFr
 
 
 def clean(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One document of each group, its columns as they were; a repeated id stays once."""
+    """One document of each group, its columns as they were; a repeated id stays once, rows without an id stay all."""
     judged = near_duplicates(docs, percent)
-    keep = judged.where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    out = docs.join(keep.hint("merge"), F.col("doc_id") == F.col("__kept"), "left_semi")
+    key = unused("kept", docs.columns)
+    keep = judged.where("kept and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
+    own = F.expr("try_cast(doc_id as long)")
+    out = docs.join(keep.hint("merge"), own == F.col(key), "left_semi")
     if _repeats(docs.select("doc_id").where("doc_id is not null")):
         out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id is null"))
+    return out.unionByName(docs.where(own.isNull()))

@@ -1,8 +1,7 @@
 """DuckDB SQL for the queries that SQL can express.
 
-Not among them: byte-pair ids (op3, op8), chunks that a rolling hash bounds
-(op4) and a fitted model's verdicts (op6); their tests hold them against plain
-versions.
+Not among them: byte-pair ids (op3, op8) and a fitted model's verdicts (op6);
+their tests hold them against plain versions.
 """
 
 from __future__ import annotations
@@ -17,11 +16,22 @@ SPACE_WORD = r"[^ \t\n\x0B\f\r]+"
 def _found(kind: str, pattern: str) -> str:
     """Matches with their starts: the pieces between them say where they are."""
     return f"""
-select doc_id, '{kind}' as kind, m[i] as m, right(coalesce(gap[i - 1] || m[i - 1], '') || gap[i], 40) as gap,
+select doc_id, text, '{kind}' as kind, m[i] as m,
        list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as pos
-from (select doc_id, m, gap, unnest(range(1, len(m) + 1)) as i
-      from (select doc_id, regexp_extract_all(coalesce(text, ''), '{pattern}') as m, string_split_regex(coalesce(text, ''), '{pattern}') as gap from documents))"""
-
+from (select doc_id, text, m, gap, unnest(range(1, len(m) + 1)) as i
+      from (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{pattern}') as m, string_split_regex(coalesce(text, ''), '{pattern}') as gap from documents))"""
+
+
+#: The context words of each kind.
+CONTEXT = (
+    ("email", "e-?mail|mail|contact|correo|courriel|kontakt"),
+    ("ip", "ip|address|server|host|adresse|servidor"),
+    ("card", "card|visa|mastercard|credit|tarjeta|carte|karte"),
+    ("phone", "phone|tel|call|mobile|telefon|tel[eéÉ]fono|t[eéÉ]l[eéÉ]phone"),
+    ("iban", "iban|account|konto|compte|cuenta|bank"),
+    ("ssn", "ssn|social security|social-security"),
+    ("secret", "tokens?|secrets?|api[ _-]?keys?|access[ _-]?keys?|private[ _-]?keys?|passwords?|passwd|credentials?"),
+)
 
 OP1 = rf"""
 with found as ({' union all '.join(_found(k, p) for k, p in (
@@ -31,12 +41,18 @@ with found as ({' union all '.join(_found(k, p) for k, p in (
     ('phone', r'\+[0-9][ ().0-9-]+[0-9]'),
     ('iban', r'\b[A-Z][A-Z][0-9][0-9](?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [0-9]{1,3})?)\b'),
     ('ssn', r'[0-9][0-9-]*'),
+    ('secret', r'[A-Za-z0-9_+/-]{20,}'),
 ))}),
 counted as (
-  select *, regexp_replace(m, '[^0-9]', '', 'g') as d, replace(m, ' ', '') as s from found
+  select *, regexp_replace(m, '[^0-9]', '', 'g') as d, replace(m, ' ', '') as s, substr(text, greatest(pos - 39, 1)::bigint, least(pos, 40)::bigint) as before from found
+),
+scored as (
+  select *, case kind when 'ip' then 60 when 'phone' then 60 when 'ssn' then 40 when 'secret' then 40 else 80 end + case when regexp_matches({FOLD.format('before')},
+         '(?:^|[^a-z0-9_])(?:' || case kind {' '.join(f"when '{k}' then '{c}'" for k, c in CONTEXT)} end || ')(?:[^a-z0-9_]|$)') then 20 else 0 end as score
+  from counted
 ),
 valid as (
-  select doc_id, kind, pos, pos + length(m) as until from counted
+  select doc_id, kind, pos, pos + length(m) as until, score from scored
   where case kind
     when 'email' then true
     when 'ip' then len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 or coalesce(try_cast(ltrim(x, '0') as integer), 0) > 255)) = 0
@@ -46,21 +62,22 @@ valid as (
     when 'phone' then length(d) between 9 and 15
     when 'iban' then length(s) between 15 and 34 and list_reduce(list_prepend(0::hugeint, list_transform(range(1, length(s) + 1), lambda i: ascii((s[5:] || s[1:4])[i])::hugeint)),
          lambda r, c: case when c < 65 then r * 10 + c - 48 else r * 100 + c - 55 end % 97) = 1
+    when 'secret' then length(m) <= 128 and regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]') and score >= 60
     else regexp_full_match(m, '[0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9][0-9][0-9]') and not regexp_matches(m, '^(?:000|666|9)|-00-|-0000$')
-         and right(gap, 1) <> '-' and regexp_matches(lower(right(gap, 40)), '\b(?:ssn|social security|social-security)\b') end
+         and right(before, 1) <> '-' and score >= 60 end
 ),
 spans as (
-  select doc_id, kind, pos, kind || ':' || pos || ':' || until as span,
-         case kind when 'email' then 1 when 'ip' then 2 when 'card' then 3 when 'phone' then 4 when 'iban' then 5 else 6 end as nth
+  select doc_id, kind, pos, score, kind || ':' || pos || ':' || until as span,
+         case kind when 'email' then 1 when 'ip' then 2 when 'card' then 3 when 'phone' then 4 when 'iban' then 5 when 'ssn' then 6 else 7 end as nth
   from valid
 ),
 per as (
-  select doc_id, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip, count(*) filter (kind = 'card') as n_card, count(*) filter (kind = 'phone') as n_phone,
-         coalesce(string_agg(span, ',' order by nth, pos) filter (nth <= 4), '') as base, string_agg(span, ',' order by nth, pos) as spans
+  select doc_id, count(*) filter (kind = 'email') as n_email, count(*) filter (kind = 'ip') as n_ip, count(*) filter (kind = 'card') as n_card, count(*) filter (kind = 'phone') as n_phone, count(*) as n_spans,
+         coalesce(string_agg(span, ',' order by nth, pos) filter (nth <= 4), '') as base, string_agg(span, ',' order by nth, pos) as spans, string_agg(score::varchar, ',' order by nth, pos) as scores
   from spans group by doc_id
 )
-select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone,
-       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+select doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone, coalesce(n_spans, 0) as n_spans,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(scores, '') as scores
 from documents left join per using (doc_id)
 """
 
@@ -90,14 +107,33 @@ failures as (
 ),
 judged as (select *, base_failed or soft >= 2 as failed from failures),
 hosts as (select source, count(*) as n, sum(failed::int) as bad from judged group by source),
-prior as (select avg(bad / n) as m, var_pop(bad / n) as v from hosts),
-rates as (
-  select source, case when v = 0 then m else (bad + m * greatest(0, m * (1 - m) / v - 1)) / (n + greatest(0, m * (1 - m) / v - 1)) end as rate from hosts, prior
-)
+sums as (select count(*) as h, sum(n)::double as t, sum(bad)::double as b, sum(n::double * n) as squares, sum(bad::double * bad / n) as spread from hosts),
+moments as (select b / t as m, t - squares / t - (h - 1) as most, case when b > 0 and b < t then (spread - t * (b / t) * (b / t)) / ((b / t) * (1 - b / t)) - (h - 1) else 0 end as beyond from sums),
+prior as (select m, case when most > 0 and beyond > 0 then 1 / least(1, beyond / most) - 1 end as weight from moments),
+rates as (select source, case when weight is null then m else (bad + m * weight) / (n + weight) end as rate from hosts, prior)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not failed and rate <= 0.6 as kept
 from judged join rates on judged.source is not distinct from rates.source
 """
 
+# --- op4 ---------------------------------------------------------------------
+
+OP4 = r"""
+with docs as (select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+pairs as (select doc_id, lines[i] as a, lines[i + 1] as b, i - 1 as k from (select doc_id, lines, unnest(range(1, len(lines))) as i from docs) where lines[i] <> '' or lines[i + 1] <> ''),
+again as (select doc_id, k from (select doc_id, k, row_number() over (partition by a, b order by doc_id, k) as n from pairs) where n > 1),
+marked as (select doc_id, k, case when k - lag(k) over (partition by doc_id order by k) <= 1 then 0 else 1 end as new from again),
+spans as (select doc_id, min(k) as a, max(k) + 2 as b from (select doc_id, k, sum(new) over (partition by doc_id order by k) as run from marked) group by doc_id, run),
+gone as (select doc_id, sum(b - a)::int as n, string_agg(a || ':' || b, ',' order by a) as spans, list(a) as starts, list(b) as ends from spans group by doc_id),
+cut as (
+  select doc_id, lines, n, spans, text,
+         list_filter(range(1, len(lines) + 1), lambda i: not list_bool_or(list_transform(range(1, len(starts) + 1), lambda s: i > starts[s] and i <= ends[s]))) as kept
+  from docs left join gone using (doc_id)
+)
+select doc_id, len(lines)::int as n_lines, coalesce(n, 0)::int as n_removed_lines, coalesce(spans, '') as removed_lines,
+       sha256(case when n is null then text else coalesce(array_to_string(list_transform(kept, lambda i: lines[i]), chr(10)), '') end) as kept_sha256
+from cut
+"""
+
 # --- op5 ---------------------------------------------------------------------
 
 OP5 = """
@@ -131,7 +167,7 @@ islands as (select doc_id, k, again, row_number() over (partition by doc_id orde
 runs as (select doc_id, min(k) as a, max(k) as b from islands where again group by doc_id, island),
 sized as (
   select runs.doc_id, a, b, sum(n) as words, min(pos) as first, max(pos + length(unit)) as last
-  from runs join counted on runs.doc_id = counted.doc_id and k between a and b group by runs.doc_id, a, b having sum(n) >= 20
+  from runs join counted on runs.doc_id = counted.doc_id and k between a and b group by runs.doc_id, a, b
 ),
 gone as (
   select doc_id, sum(b - a + 1)::int as units, sum(last - first)::int as chars, string_agg(first || ':' || last, ',' order by first) as spans from sized group by doc_id
@@ -185,6 +221,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_pii": OP1,
         "op2_quality_rules": OP2,
+        "op4_line_dedup": OP4,
         "op5_suffix_array_dedup": OP5,
         "op7_substring_dedup": OP7,
         "op9_minhash_near_dedup": OP9,

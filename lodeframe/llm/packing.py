@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, capacity: int = 2048) -> DataFrame:
                 start = 0 if k == 0 else end - capacity
                 yield doc_id, k, start, end - start, zlib.crc32(ids[start:end].tobytes())
 
-    return map_rows(docs.select("doc_id", "text"), cut, PIECES)
+    return map_rows(docs.select(F.expr("try_cast(doc_id as long)").alias("doc_id"), "text"), cut, PIECES)
 
 
 def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
@@ -136,7 +136,7 @@ def pack(made: DataFrame, scratch: Scratch, capacity: int = 2048, key: str = "le
     """
     spark = made.sparkSession
     salts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salted = scratch.write(made.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts))), "salted")
+    salted = scratch.write(made.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(salts))), "salted")
     cells = salted.groupBy(F.col(key).alias("__len"), "__salt").agg(F.count(F.lit(1)).alias("__n"))
     counts = {r[0]: r[1] for r in cells.groupBy("__len").agg(F.sum("__n")).collect()}  # at most ``capacity`` rows
     fixed, rest = reduce_by_dominance(counts, capacity)
@@ -166,7 +166,9 @@ def packed(docs: DataFrame, capacity: int = 2048) -> DataFrame:
     A null text is empty: its only id is the closing 0, so each document has at
     least one piece.  Documents with null or repeated ids are packed each for
     itself; equal pieces have equal ranks in some order, whichever is as good.
-    An empty table gives no rows.  Other columns are ignored.
+    Ids are cast to long, null if that can't be.  A very long text is encoded
+    whole, one at a time, and gives as many pieces as it needs.  An empty table
+    gives no rows.  Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     return pack(pieces(docs, capacity), scratch, capacity)

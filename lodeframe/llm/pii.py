@@ -2,7 +2,8 @@
 
 Regular expressions propose spans, checks confirm them (ranges, digit counts,
 the Luhn sum, the remainder modulo 97), and words shortly before a span raise
-its score.  No pattern takes more than linear time: starts inside a run that
+its score.  Base kinds are reported at any score; social security numbers and
+secrets (keys, tokens) only where such words stand before them.  No pattern takes more than linear time: starts inside a run that
 has just failed are excluded, and what can't need backtracking is possessive.
 """
 
@@ -15,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import ascii_lower
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -27,6 +30,7 @@ class Kind:
 
 
 CONTEXT_CHARS, CONTEXT_GAIN, LEAST_SCORE = 40, 20, 60
+LEAST_MATCH = 5  # characters of the shortest match of any kind
 
 
 def digits(m: Column) -> Column:
@@ -62,9 +66,10 @@ KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda m: F.lit(True), 80, "e-?mail|mail|contact|correo|courriel|kontakt"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda m: m.rlike(rf"^{PART}\.{PART}\.{PART}\.{PART}$"), 60, "ip|address|server|host|adresse|servidor"),
     Kind("card", r"(?=[0-9](?:[\x20-]?[0-9]){12})[0-9](?:[\x20-]?[0-9])++", luhn, 80, "card|visa|mastercard|credit|tarjeta|carte|karte"),
-    Kind("phone", r"(?=\+[0-9](?:[\x20().-]*+[0-9]){8})\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(digits(m)).between(9, 15), 60, "phone|tel|call|mobile|telefon|tel[eé]fono|t[eé]l[eé]phone"),
+    Kind("phone", r"(?=\+[0-9](?:[\x20().-]*+[0-9]){8})\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(digits(m)).between(9, 15), 60, "phone|tel|call|mobile|telefon|tel[eéÉ]fono|t[eéÉ]l[eéÉ]phone"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[0-9]{1,3})?)(?![A-Za-z0-9])", mod97, 80, "iban|account|konto|compte|cuenta|bank", base=False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), 40, "ssn|social security|social-security", base=False),
+    Kind("secret", r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+", lambda m: (F.length(m) <= 128) & m.rlike("[0-9]") & m.rlike("[A-Za-z]"), 40, "tokens?|secrets?|api[ _-]?keys?|access[ _-]?keys?|private[ _-]?keys?|passwords?|passwd|credentials?", base=False),
 )
 
 
@@ -80,21 +85,27 @@ def running_total(lengths: Column, block: int = 256) -> Column:
 
 
 def _pairs(found: Column, between: Column) -> Column:
-    """Each match with its length, the text since the one before, and the last characters before it."""
+    """Each match with its length, that of the text since the one before, and the ``CONTEXT_CHARS`` before it."""
     tail = lambda c: F.coalesce(F.right(c, F.lit(CONTEXT_CHARS)), F.lit(""))
+    back = range(CONTEXT_CHARS // LEAST_MATCH, 0, -1)  # so many matches before it can lie in them
 
     def pair(m: Column, i: Column) -> Column:
-        before = F.concat(tail(F.get(between, i - 1)), tail(F.get(found, i - 1)), tail(F.get(between, i)))
-        return F.struct(m.alias("m"), F.length(m).alias("n"), F.length(F.get(between, i)).alias("gap"), tail(before).alias("before"))
+        crowded = F.concat(*[tail(F.get(c, i - k)) for k in back for c in (between, found)], tail(F.get(between, i)))
+        before = F.when(F.length(F.get(between, i)) >= CONTEXT_CHARS, tail(F.get(between, i))).otherwise(tail(crowded))
+        return F.struct(m.alias("m"), F.length(m).alias("n"), F.length(F.get(between, i)).alias("gap"), before.alias("before"))
 
     return F.transform(found, pair)
 
 
+def near(k: Kind, before: Column) -> Column:
+    """Whether a context word, A-Z lower-cased, stands between others than letters a-z, digits and underscores."""
+    return ascii_lower(before).rlike(f"(?:^|[^a-z0-9_])(?:{k.context})(?:[^a-z0-9_]|$)")
+
+
 def _spans(k: Kind, pairs: Column, ends: Column) -> Column:
     """Array of (start, end, score) of the valid matches."""
     good = F.filter(F.arrays_zip(pairs.alias("p"), ends.alias("e")), lambda s: k.valid(s["p"]["m"]))
-    near = rf"(?i)\b(?:{k.context})\b"
-    score = lambda s: F.lit(k.score) + F.when(s["p"]["before"].rlike(near), CONTEXT_GAIN).otherwise(0)
+    score = lambda s: F.lit(k.score) + F.when(near(k, s["p"]["before"]), CONTEXT_GAIN).otherwise(0)
     out = F.transform(good, lambda s: F.struct((s["e"] - s["p"]["n"]).alias("start"), s["e"].alias("end"), score(s).alias("score")))
     none = F.array().cast("array<struct<start:int,end:int,score:int>>")
     return F.when(F.size(pairs) > 0, F.filter(out, lambda s: F.lit(True) if k.base else s["score"] >= LEAST_SCORE)).otherwise(none)
@@ -124,11 +135,12 @@ def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Counts by base kind, a digest of the base spans, all spans, and their scores."""
+    """Counts by base kind and of all spans, a digest of the base spans, all spans, and their scores."""
     found = find(docs)
     one = lambda k: F.transform(F.col(k.name), lambda s: F.concat(F.lit(f"{k.name}:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string")))
     scored = lambda k: F.transform(F.col(k.name), lambda s: s["score"].cast("string"))
     base = [k for k in KINDS if k.base]
     join = lambda kinds, f=one: F.array_join(reduce(F.concat, map(f, kinds)), ",")
     counts = [F.size(k.name).cast("long").alias(f"n_{k.name}") for k in base]
-    return found.select("doc_id", *counts, F.sha2(join(base), 256).alias("base_sha256"), join(KINDS).alias("spans"), join(KINDS, scored).alias("scores"))
+    n_spans = reduce(lambda a, b: a + b, [F.size(k.name) for k in KINDS])
+    return found.select("doc_id", *counts, n_spans.cast("long").alias("n_spans"), F.sha2(join(base), 256).alias("base_sha256"), join(KINDS).alias("spans"), join(KINDS, scored).alias("scores"))

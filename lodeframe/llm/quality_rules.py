@@ -1,9 +1,10 @@
 """Quality rules: each document's own, and verdicts on hosts from their documents' failures.
 
 Failures are counted by host (``source``).  Small hosts have noisy rates, so a
-host's rate is shrunk towards all hosts' by a beta prior whose parameters come
-from the mean and the variance of the hosts' rates; a host whose shrunk rate is
-too high is rejected with all its documents.
+host's rate is shrunk towards all hosts' by a beta prior.  Its parameters are
+the beta-binomial moments of the hosts, weighted by their documents, less the
+noise that small hosts' rates would show even if all hosts were alike.  A host
+whose shrunk rate is too high is rejected with all its documents.
 """
 
 from __future__ import annotations
@@ -83,16 +84,24 @@ def soft_failures(limits: Limits = Limits()) -> Column:
 def shrunk_rates(judged: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """host, n_docs, n_failed, host_rate: the mean of the beta posterior.
 
-    The prior's mean m and variance v are those of the hosts' own rates; its
-    weight is m(1-m)/v - 1, at least 0.  Hosts that all have the same rate give
-    it all the weight: the rate is then m.
+    With m the share of all documents that fail, hosts that all fail at rate m
+    have an expected sum of n_docs * (rate - m)^2 / (m (1 - m)) of one less than
+    their number.  What the sum has beyond that, divided by the most it could
+    have, is the correlation c of failures within hosts, and the prior's weight
+    is 1 / c - 1.  Where nothing is beyond it, as with one document a host or
+    the same rate everywhere, the rate is m.
     """
     hosts = judged.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
-    rate = F.col("n_failed") / F.col("n_docs")
-    m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()  # one row
-    if m is None or not v:
-        return hosts.withColumn("host_rate", F.lit(m).cast("double"))
-    weight = max(0.0, m * (1 - m) / v - 1)
+    n, bad = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
+    count, docs, failed, squares, spread = hosts.agg(F.count(F.lit(1)), F.sum("n_docs"), F.sum("n_failed"), F.sum(n * n), F.sum(bad * bad / n)).first()  # one row
+    if not docs:
+        return hosts.withColumn("host_rate", F.lit(None).cast("double"))
+    m = failed / docs
+    most = docs - squares / docs - (count - 1)
+    beyond = (spread - docs * m * m) / (m * (1 - m)) - (count - 1) if 0 < failed < docs else 0.0
+    if most <= 0 or beyond <= 0:
+        return hosts.withColumn("host_rate", F.lit(m))
+    weight = 1 / min(1.0, beyond / most) - 1
     return hosts.withColumn("host_rate", (F.col("n_failed") + m * weight) / (F.col("n_docs") + weight))
 
 
@@ -103,7 +112,8 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     ``soft_failures`` others, on hosts whose shrunk rate is at most
     ``host_rate``.  A null text has no words (base failure); documents with a
     null ``source`` are one host.  Ids are only carried along, so repeated rows
-    are judged each and counted each; an empty table gives no rows.
+    are judged each and counted each; an empty table gives no rows.  A very long
+    text takes memory for its words and windows, in its own row.
 
     The texts are read once; the counts are stored, aggregated by host with
     partial sums, and joined with the hosts' verdicts.  Spark broadcasts the

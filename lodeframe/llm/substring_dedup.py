@@ -42,18 +42,19 @@ def repeats(docs: DataFrame, min_words: int = 5) -> DataFrame:
     return each.join(scratch.write(first, "first").hint("merge"), ["h1", "h2"]).where(~F.struct("doc_id", "at").eqNullSafe(F.col("first"))).select("doc_id", "at")
 
 
-def deduplicate(docs: DataFrame, min_words: int = 5, min_run_words: int = 20) -> DataFrame:
+def deduplicate(docs: DataFrame, min_words: int = 5, min_run_words: int = 0) -> DataFrame:
     """One row per document: units, removed spans by original offsets, and the text that is left.
 
     A unit of ``min_words`` words or more is repeated if one that is equal after
     normalising starts earlier, in a smaller ``doc_id`` or before it in its own
     document.  Adjacent repeated units, with shorter units between two of them,
-    form a run; a run of ``min_run_words`` words or more is removed, so that the
-    earliest occurrence stays and a stray short sentence does too.
+    form a run, and runs are removed, so that the earliest occurrence stays.  With
+    ``min_run_words`` shorter runs stay too.
 
     Null texts are empty: one unit, nothing removed.  Rows that share a
     ``doc_id`` count as one place, so neither makes the other a repeat; a null id
-    sorts first.  Only ``doc_id`` and ``text`` are read.  Grouping is by digest
+    sorts first.  A very long text is cut to units in its row; an empty table
+    gives no rows.  Only ``doc_id`` and ``text`` are read.  Grouping is by digest
     with partial aggregation, and what joins back is a plain equi-join that
     adaptive execution splits where a digest is frequent.
     """

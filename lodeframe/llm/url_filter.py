@@ -21,27 +21,44 @@ RULES = (
     ("block", "org", "/es/"),
 )
 
-#: Words of unwanted and of wanted hosts, from which the small labelled table is made.
-UNWANTED = "casino poker jackpot betting slots lottery pills pharmacy viagra cheap discount replica payday loans crypto-win free-money adult xxx porn escort torrent warez crack keygen bets ads tracker".split()
-WANTED = "news library museum university school science journal weather garden kitchen travel history music forum docs wiki health council research archive blog therapy nation thread".split()
-SECTIONS = ("en", "de", "fr", "es")
+#: Words of unwanted and of wanted hosts and pages, from which the small labelled table is made.
+UNWANTED = "casino poker jackpot betting slots lottery roulette bingo gambling wager pills pharmacy viagra cialis tramadol steroids discount replica counterfeit payday loans bitcoin-doubler free-money get-rich adult xxx porn escort webcam hookup torrent warez crack keygen serial nulled proxy-list followers clickbait popup tracker".split()
+WANTED = "news library museum university school science journal weather garden kitchen travel history music forum docs wiki health council research archive blog therapy nation thread recipes physics biology railway parliament theatre orchestra cycling hiking gallery bakery pottery astronomy geology hospital village".split()
+
+#: Shapes of host and path, as they are common on the web; {w} and {v} are words, {n} a number, {y} a year.
+SHAPES = (
+    ("www.{w}.com", "/"),
+    ("{w}.org", "/{v}/{y}/{n}"),
+    ("www.{w}-{v}.co.uk", "/articles/{w}-{n}.html"),
+    ("blog.{w}.net", "/{y}/05/{v}-{w}/"),
+    ("{w}{n}.info", "/index.php"),
+    ("shop.{w}.de", "/p/{n}-{w}"),
+    ("the{w}{v}.com", "/category/{w}"),
+    ("m.{w}online.com", "/view/{n}"),
+    ("cdn.{v}.io", "/{w}/{w}.html"),
+    ("best-{w}.biz", "/{v}"),
+    ("{w}.{v}.com", "/en/{n}"),
+    ("my{w}.fr", "/{y}/{w}.htm"),
+)
 
 
-#: Syllables of the neutral made-up hosts.
-SYLLABLES = "an ter th on nt she ing st tho re nd le ver sh co mi wh sta du pa el ion".split()
+def neutral_names(n: int) -> list[str]:
+    """Made-up names of two to four syllables, a consonant and a vowel each, from a fixed seed."""
+    rng = np.random.Generator(np.random.PCG64(7))
+    return ["".join(rng.choice(list("bcdfghklmnprstvwz")) + rng.choice(list("aeiou")) + rng.choice(["", "", "n", "r", "s"]) for _ in range(rng.integers(2, 5))) for _ in range(n)]
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The built-in labelled table (url, label 1 = unwanted): each word in eight shapes, and as many neutral made-up hosts."""
+    """The built-in labelled table (url, label 1 = unwanted, word): each word in nine shapes, and made-up names in two as wanted ones."""
     rows = []
-    neutral = [a + b + c for i, a in enumerate(SYLLABLES) for b, c in zip(SYLLABLES[i % 5 :: 5], SYLLABLES[i % 3 :: 4], strict=False)]
-    for label, own in ((1, UNWANTED), (0, WANTED), (0, neutral)):
+    for label, own in ((1, UNWANTED), (0, WANTED), (0, neutral_names(300))):
         for i, w in enumerate(own):
-            other = own[(i + 7) % len(own)]
-            for k, host in enumerate((f"www.{w}.example.com", f"{w}-{other}.example.org", f"blog.{w}.example.net", f"m.{w}.example.org", f"{w}.example.net", f"{w}.com", f"www.{w}-{other}.example.com", f"m.{other}-{w}.example.net")):
-                tail = ("", "/", ".html", "?page=2", "#top", "/", "", ".html")[(i + k) % 8]
-                rows.append((f"https://{host}/{SECTIONS[(i + k) % 4]}/{(37 * i + 211 * k) % 1000}{tail}", label))
-    return spark.createDataFrame(rows, "url string, label int")
+            v = own[(i + 7) % len(own)]
+            for k in range(9 if len(own) < 100 else 2):
+                host, path = SHAPES[(5 * i + 7 * k) % len(SHAPES)]
+                values = {"w": w, "v": v, "n": (37 * i + 211 * k) % 997, "y": 2005 + (i + k) % 20}
+                rows.append((f"https://{host.format(**values)}{path.format(**values)}", label, w))
+    return spark.createDataFrame(rows, "url string, label int, word string")
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -79,17 +96,21 @@ class NgramModel:
         at, n = np.unique(self.features(host, path), return_counts=True)
         return at, n / np.sqrt((n * n).sum() or 1)
 
-    def fit(self, rows: list[tuple[str, str, int]], rounds: int = 400, rate: float = 4.0, l2: float = 1e-4) -> NgramModel:
-        """Full-batch gradient descent: the same rows in any order give the same model, but for rounding."""
+    def fit(self, rows: list[tuple[str, str, int]], rounds: int = 600, rate: float = 4.0, l2: float = 1e-5) -> NgramModel:
+        """Accelerated full-batch gradient descent, both labels with the same weight in all: the same rows in any order give the same model, but for rounding."""
         x = np.zeros((len(rows), self.dims))
         for i, (host, path, _) in enumerate(rows):
             at, v = self._vector(host, path)
             x[i, at] = v
         y = np.array([r[2] for r in rows], float)
-        for _ in range(rounds if len(rows) else 0):
-            miss = 1 / (1 + np.exp(-(x @ self.w + self.b))) - y
-            self.w -= rate * (x.T @ miss / len(y) + l2 * self.w)
-            self.b -= rate * miss.mean()
+        share = np.where(y > 0, 1 / max(1, y.sum()), 1 / max(1, (1 - y).sum())) / 2
+        w, b = self.w, self.b
+        for k in range(rounds if len(rows) else 0):
+            miss = (1 / (1 + np.exp(-(x @ w + b))) - y) * share
+            before = self.w, self.b
+            self.w, self.b = w - rate * (x.T @ miss + l2 * w), b - rate * miss.sum()
+            pull = k / (k + 3)
+            w, b = self.w + pull * (self.w - before[0]), self.b + pull * (self.b - before[1])
         return self
 
     def score(self, host: str, path: str) -> float:
@@ -98,10 +119,11 @@ class NgramModel:
 
 
 def fit(labelled: DataFrame, max_rows: int = 2000) -> NgramModel:
-    """Fits on at most ``max_rows`` labelled URLs, the documented bound of what comes to the driver."""
+    """Fits on at most ``max_rows`` labelled URLs, the documented bound of what comes to the driver: for each label half of them, the distinct ones of least hash."""
     host, path = parts(F.col("url"))
-    rows = labelled.where("label is not null").select(host.alias("host"), path.alias("path"), "label").orderBy("host", "path", "label").limit(max_rows).collect()
-    return NgramModel().fit([tuple(r) for r in rows])
+    known = labelled.select(host.alias("host"), path.alias("path"), "label").distinct()
+    rows = [known.where(F.col("label") == label).orderBy(F.xxhash64("host", "path"), "host", "path").limit(max_rows // 2) for label in (0, 1)]
+    return NgramModel().fit([tuple(r) for r in rows[0].union(rows[1]).collect()])
 
 
 def judge(pages: DataFrame, model: NgramModel, rules: Iterable[tuple[str, str, str]] = RULES, threshold: float = 0.5) -> DataFrame:
@@ -109,7 +131,8 @@ def judge(pages: DataFrame, model: NgramModel, rules: Iterable[tuple[str, str, s
 
     Only ``page_id`` and ``url`` are read.  A null url or one without ``://`` has
     an empty host and path; no rule fits it and, as there is nothing to judge, it
-    is allowed with score 0.  Repeated rows give repeated rows.  No shuffle.  The
+    is allowed with score 0.  Repeated rows give repeated rows, an empty table
+    none.  A very long url is cut to n-grams in its row.  No shuffle.  The
     broadcast model has ``dims`` weights.
     """
     host, path = parts(F.col("url"))

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -65,11 +69,13 @@ def suffixes(docs: list[tuple[int, str | None]], length: int = 100) -> dict[int,
     return out
 
 
+def shingle_set(text: str | None) -> set[tuple[str, ...]]:
+    w = WORD.findall(low(text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def near(docs: list[tuple[int, str | None]], percent: int = 85) -> dict[int, tuple]:
-    sets = {}
-    for d, t in docs:
-        w = WORD.findall(low(t or ""))
-        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    sets = {d: shingle_set(t) for d, t in docs}
     least = {d: d for d in sets}
 
     def find(x: int) -> int:
@@ -103,7 +109,7 @@ def contamination(text: str | None, items: list[tuple], window: int = 10) -> tup
     return len(w), len(hit), len(named), sha(",".join(sorted(named))), bool(hit)
 
 
-def substrings(docs: list[tuple[int, str | None]], min_words: int = 5, min_run: int = 20) -> dict[int, tuple[str, str]]:
+def substrings(docs: list[tuple[int, str | None]], min_words: int = 5, min_run: int = 0) -> dict[int, tuple[str, str]]:
     """doc_id -> (spans, text left)"""
     seen, out = set(), {}
     for d, t in sorted(docs, key=lambda r: r[0]):
@@ -133,12 +139,30 @@ def substrings(docs: list[tuple[int, str | None]], min_words: int = 5, min_run:
     return out
 
 
-def lines(docs: list[tuple[int, str | None]], chunks) -> dict[int, str]:  # noqa: ANN001
-    """doc_id -> text left, given the chunker"""
+def chunk_bounds(every: list[str]) -> list[int]:
+    """Ends of chunks: gaps by the rolling hash of the two lines beside them, each taken that leaves no chunk of one line."""
+    n = len(every)
+    hashes = [xxhash.xxh3_64_intdigest(x.encode()) for x in every]
+    order = []
+    for gap in range(1, n):
+        h = 0
+        for line in (gap - 1, gap):
+            h = (h + hashes[line]) * 0x9E3779B97F4A7C15 % 2**64
+        order.append((h // 2**32, gap))
+    taken = {0, n}
+    for _, gap in sorted(order):
+        if not taken & {gap - 1, gap, gap + 1}:
+            taken.add(gap)
+    return sorted(taken)
+
+
+def lines(docs: list[tuple[int, str | None]]) -> dict[int, str]:
+    """doc_id -> text left without the chunks that occur earlier"""
     seen, out = set(), {}
     for d, t in sorted(docs, key=lambda r: r[0]):
         every, left = (t or "").split("\n"), []
-        for a, b in chunks(t or ""):
+        bounds = chunk_bounds(every)
+        for a, b in zip(bounds, bounds[1:], strict=False):
             c = "\n".join(every[a:b])
             if b - a > 1 and c.strip("\n"):
                 if c in seen:
@@ -179,6 +203,38 @@ def rule(host: str, path: str, rules) -> tuple[str | None, str | None]:  # noqa:
     return max(fits, key=lambda x: len(x[0]), default=(None, None))
 
 
+class UrlModel:
+    """Logistic regression on hashed 3- to 5-grams, refitted by Newton's steps in the space of the rows."""
+
+    def __init__(self, rows: list[tuple[str, str, int]], dims: int = 1 << 13, l2: float = 1e-5) -> None:
+        self.dims = dims
+        self.x = np.stack([self.vector(h, p) for h, p, _ in rows])
+        y = np.array([r[2] for r in rows], float)
+        share = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+        gram = self.x @ self.x.T
+        a, b = np.zeros(len(y)), 0.0  # w = x.T @ a
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-(gram @ a + b)))
+            weight = np.maximum(share * p * (1 - p), 1e-12)
+            # least squares on the working response, with b unpenalised
+            z = gram @ a + b + share * (y - p) / weight
+            system = np.block([[gram + np.diag(l2 / weight), np.ones((len(y), 1))], [np.ones((1, len(y))), np.zeros((1, 1))]])
+            solved = np.linalg.solve(system, np.append(z, 0))
+            a, b = solved[:-1], solved[-1]
+        self.w, self.b = self.x.T @ a, b
+
+    def vector(self, host: str, path: str) -> np.ndarray:
+        out = np.zeros(self.dims)
+        for text in (f"h^{host}$", f"p{path}$"):
+            for n in (3, 4, 5):
+                for i in range(1, len(text) - n + 1):
+                    out[zlib.crc32((text[0] + text[i : i + n]).encode()) % self.dims] += 1
+        return out / (np.linalg.norm(out) or 1)
+
+    def score(self, host: str, path: str) -> float:
+        return 1 / (1 + np.exp(-(self.vector(host, path) @ self.w + self.b)))
+
+
 def texts_with_copies(rng, n: int = 60, words: int = 60, sep: str = " ") -> list[tuple[int, str]]:  # noqa: ANN001
     """Made-up texts, some of them copies, edits or mixtures of others."""
     vocabulary = ["".join(rng.choice("aeioutrnslé") for _ in range(rng.randint(2, 7))) for _ in range(300)]

@@ -7,7 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from lodeframe.llm import line_dedup, oracles, queries
+from lodeframe.llm import oracles, queries
 
 from . import plain
 from .test_operators import check_packing
@@ -55,7 +55,7 @@ def test_stages(spark, folder):
         if name == "quality rules":
             want = {d: t for d, t in before.items() if not plain.quality(t)[-1]}
         elif name == "line dedup":
-            left = plain.lines(list(before.items()), line_dedup.chunks)
+            left = plain.passages(list(before.items()))
             want = {d: t for d, t in left.items() if t == before[d] or t.strip("\n")}
         elif name == "MinHash near-dedup":
             kept = plain.near(list(before.items()), 80)
