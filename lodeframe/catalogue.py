@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import Count, Fold, Max
-from .operators import block_product, group_by, index_join, index_select, materialize, merge_join, project, select, sort, table_scan
+from .operators import block_product, chunk_scan, group_by, index_join, index_select, materialize, merge_join, product, project, select, sort, table_scan
 from .plans import estimate, planner
 from .plans.ast import Term, column, constant
 from .plans.parser import parse, parse_query
 from .plans.planner import parquet_tables
+from .plans.predicate import Predicate
+from .session import Engine, connect
 from .sources import Store
+from .shared import shared_root
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -201,8 +204,7 @@ def delete_where(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _database(spark: SparkSession) -> Store:
     """A database in the folder that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lodeframe-")
-    return Store(spark, f"{root.rstrip('/')}/lodeframe-db-{uuid.uuid4().hex}")
+    return Store(spark, f"{shared_root(spark)}/lodeframe-db-{uuid.uuid4().hex}")
 
 
 @_query("select cast(c_custkey as integer) as c_custkey, case when c_nationkey = 2 then 'NONE' else c_mktsegment end as c_mktsegment, c_nationkey from customer where c_nationkey <> 3 union all select cast(0 as integer), 'NEW', cast(0 as integer)")
@@ -222,15 +224,115 @@ def stored_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.begin().query("select c_custkey, c_mktsegment, c_nationkey from customer")
 
 
-@_query("select * from (values ('student', 'sid', 4, 0, 0), ('student', 'sname', 12, 10, 4)) as t(tblname, fldname, type, length, \"offset\")")
+@_query("select * from (values ('member', 'mid', 4, 0, 0), ('member', 'mname', 12, 10, 4)) as t(tblname, fldname, type, length, \"offset\")")
 def catalog_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _database(spark)
     tx = store.begin()
-    tx.execute(parse("create table student (SId int, SName varchar(10))"))
+    tx.execute(parse("create table member (MId int, MName varchar(10))"))
     tx.commit()
     return store.begin().query("select tblname, fldname, type, length, offset from fldcat")
 
 
+def _loaded(spark: SparkSession, sf_dir: str, table: str, fields: str) -> Engine:
+    """An engine whose database holds one of the tables, loaded."""
+    engine = Engine(spark, _database(spark).files.root)
+    engine.execute(f"create table {table} ({fields})")
+    tx = engine.store.begin()
+    tx.load(table, _t(spark, sf_dir, table))
+    tx.commit()
+    return engine
+
+
+@_query(
+    "select n_name, n_regionkey, 'n_name 12 25, n_regionkey 4 6' as described from nation where n_regionkey = 2 and n_nationkey <> 8"
+    " union all select 'ATLANTIS', 2, 'n_name 12 25, n_regionkey 4 6'"
+)
+def client_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connect, change, read by cursor and metadata, and commit, as a client does."""
+    root = _loaded(spark, sf_dir, "nation", "n_nationkey int, n_name varchar(25), n_regionkey int").store.files.root
+    client = connect(spark, root)
+    client.create_statement().execute_update("insert into nation (n_nationkey, n_name, n_regionkey) values (25, 'ATLANTIS', 2)")
+    client.create_statement().execute_update("delete from nation where n_nationkey = 8")
+    found = client.create_statement().execute_query("select n_name, n_regionkey from nation where n_regionkey = 2")
+    meta, rows = found.get_meta_data(), []
+    described = ", ".join(f"{meta.get_column_name(i)} {meta.get_column_type(i)} {meta.get_column_display_size(i)}" for i in range(1, meta.get_column_count() + 1))
+    while found.next():
+        rows.append((found.get_string("n_name"), found.get_int("n_regionkey"), described))
+    found.close()
+    client.close()
+    return spark.createDataFrame(rows, "n_name string, n_regionkey int, described string")
+
+
+@_query("select c_custkey, c_name, 'select c_custkey, c_name from customer where c_nationkey = 2' as viewdef from customer where c_nationkey = 2")
+def stored_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view that is stored, queried by name, and listed in the catalog."""
+    engine = _loaded(spark, sf_dir, "customer", "c_custkey int, c_name varchar(25), c_nationkey int")
+    engine.execute("create view second as select c_custkey, c_name from customer where c_nationkey = 2")
+    return engine.query("select c_custkey, c_name, viewdef from second, viewcat where viewname = 'second'")
+
+
+@_query("select o_orderkey, 'by_customer' as indexname, 'o_custkey' as fieldname from orders where o_custkey = 899")
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index on a clustered table: an equality reads the segments whose ranges have the value."""
+    engine = _loaded(spark, sf_dir, "orders", "o_orderkey int, o_custkey int")
+    engine.execute("create index by_customer on orders (o_custkey)")
+    tx = engine.store.begin()
+    tx.cluster("orders", "o_custkey", segments=4)
+    tx.commit()
+    return engine.query("select o_orderkey, indexname, fieldname from orders, idxcat where o_custkey = 899 and tablename = 'orders'")
+
+
+@_query("select * from (values ('tblcat', 1), ('fldcat', 3), ('viewcat', 1), ('idxcat', 1)) as t(catalog, n)")
+def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in each table of the catalog, after one table, view and index were made."""
+    engine = Engine(spark, _database(spark).files.root)
+    for text in ("create table t (a int, b varchar(3), c int)", "create view v as select a from t", "create index i on t (a)"):
+        engine.execute(text)
+    tx = engine.store.begin()
+    return spark.createDataFrame([(name, tx.query(f"select {field} from {name}").count()) for name, field in (("tblcat", "tblname"), ("fldcat", "fldname"), ("viewcat", "viewname"), ("idxcat", "indexname"))], "catalog string, n int")
+
+
+@_query("select c_custkey, c_name, c_acctbal from customer where c_nationkey between 3 and 7")
+def chunk_scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part of a table's files, in their order."""
+    root = f"{shared_root(spark)}/lodeframe-chunks-{uuid.uuid4().hex}"
+    _t(spark, sf_dir, "customer").write.partitionBy("c_nationkey").parquet(root)
+    return project(chunk_scan(spark, [f"{root}/c_nationkey={k}" for k in range(25)], 3, 7), ["c_custkey", "c_name", "c_acctbal"])
+
+
+@_query("select c_custkey, n_name, 'BUILDING' as segment, 'n_nationkey' as other from customer join nation on c_nationkey = n_nationkey where c_mktsegment = 'BUILDING' and n_regionkey = 1")
+def predicate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conjunction taken apart by schema: each table's own terms, those that join them, and what fields are bound to."""
+    customer, nation = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "nation")
+    p = Predicate((_eq("c_mktsegment", "BUILDING"), Term(column("c_nationkey"), column("n_nationkey")), Term(constant(1), column("n_regionkey"))))
+    left, right = set(customer.columns), set(nation.columns)
+    rows = select(product(select(customer, p.within(left)), select(nation, p.within(right))), p.joining(left, right))
+    bound = rows.withColumns({"segment": F.lit(p.constant_for("c_mktsegment")), "other": F.lit(p.field_for("c_nationkey"))})
+    return project(bound, ["c_custkey", "n_name", "segment", "other"])
+
+
+@_query("select 'o_custkey = 899' as predicate, 1 + n // 3 as factor, n // (1 + n // 3) as records from (select count(*) as n from orders) union all select 'o_custkey = o_orderkey and 1 = 1', 1 + n // 3, n // (1 + n // 3) from (select count(*) as n from orders)")
+def selectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By how much selections are estimated to divide a table, and the records they leave."""
+    orders = _t(spark, sf_dir, "orders")
+    e = estimate.table(orders.count(), set(orders.columns), 100)
+    both = Predicate((Term(column("o_custkey"), column("o_orderkey")), Term(constant(1), constant(1))))
+    one = Predicate((_eq("o_custkey", 899),))
+    # two fields: the larger of both numbers of values
+    factors = [(p, estimate.reduction(e, p)) for p in (one, both)]
+    return spark.createDataFrame([(str(p), f, estimate.select(e, p).records) for p, f in factors], "predicate string, factor long, records long")
+
+
+@_query(
+    "select available, size, case when available <= 1 then 1 else ceil(pow(size, 1.0 / list_filter(range(2, 60), lambda i: ceil(pow(size, 1.0 / i)) <= available)[1]))::int end as root,"
+    " ceil(size / ceil(size / greatest(1, available)))::int as factor from (values (0, 10), (1, 10), (8, 100), (8, 6), (3, 1000), (20, 300)) as t(available, size)"
+)
+def buffer_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root and the fraction of an output's blocks that available buffers hold."""
+    cases = [(0, 10), (1, 10), (8, 100), (8, 6), (3, 1000), (20, 300)]
+    return spark.createDataFrame([(a, n, estimate.best_root(a, n), estimate.best_factor(a, n)) for a, n in cases], "available int, size int, root int, factor int")
+
+
 # --- statistics ---------------------------------------------------------------
 
 
@@ -251,7 +353,7 @@ def estimate_join_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The names of the survey's catalogue.
-_NAMES = {"table_scan_all": "table_scan", "index_select_eq": "index_select", "index_join_lookup": "index_join", "merge_join_sorted": "merge_join", "materialized_selection": "materialize"}
+_NAMES = {"table_scan_all": "table_scan", "index_select_eq": "index_select", "index_join_lookup": "index_join", "merge_join_sorted": "merge_join", "materialized_selection": "materialize", "chunk_scan_files": "chunk_scan"}
 
 
 def queries() -> dict[str, Query]:

@@ -11,7 +11,6 @@ one's value stays.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +21,7 @@ from ..errors import UnknownNameError
 from ..functions.aggregates import AggregationFn
 from ..plans.ast import Term, column, constant
 from ..plans.predicate import Predicate
+from ..shared import shared_root
 
 
 def _known(df: DataFrame, fields: Iterable[str]) -> list[str]:
@@ -134,8 +134,6 @@ def group_by(df: DataFrame, fields: Iterable[str], fns: Iterable[AggregationFn]
 def materialize(df: DataFrame) -> DataFrame:
     """A stored snapshot of the rows as they are now, in the session's checkpoint folder, which all executors share."""
     spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodeframe-"))
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint(eager=True)

@@ -26,19 +26,31 @@ ORDER = "__seq"
 #: name -> the table's DataFrame, or a view's query text
 Resolver = Callable[[str], "DataFrame | str"]
 
+#: (name, {field: constant}) -> the table's DataFrame, without some of the rows that differ
+Narrower = Callable[[str, dict], DataFrame]
+
 INT_RANGE = -(1 << 31), (1 << 31) - 1
 
 
-def plan(query: Query | str, resolve: Resolver, ordered: bool = False, _within: tuple[str, ...] = ()) -> DataFrame:
-    """The query's rows; ``ordered`` sorts them by the order of insertion of the first table's rows, then the second's, and so on."""
+def plan(query: Query | str, resolve: Resolver, ordered: bool = False, narrow: Narrower | None = None, _within: tuple[str, ...] = ()) -> DataFrame:
+    """The query's rows; ``ordered`` sorts them by the order of insertion of the first table's rows, then the second's, and so on.
+
+    ``narrow`` may leave out rows of a table that the equalities rule out.  Of
+    tables with a field of the same name, the first one's is meant.
+    """
     query = parse_query(query) if isinstance(query, str) else query
-    sources, orders = [], []
+    sources, orders, seen = [], [], set()
+    wanted = Predicate(query.where)
     for k, name in enumerate(query.tables):
         found = resolve(name)
         if isinstance(found, str):
             if name in _within:
                 raise UnknownNameError(f"view {name} is defined by itself")
-            found = plan(found, resolve, _within=(*_within, name))
+            found = plan(found, resolve, narrow=narrow, _within=(*_within, name))
+        elif narrow:
+            equal = {f: c for f in found.columns if f not in seen and (c := wanted.constant_for(f)) is not None}
+            found = narrow(name, equal) if equal else found
+        seen.update(found.columns)
         if ordered and ORDER in found.columns:
             orders.append(f"{ORDER}_{k}")
             found = found.withColumnRenamed(ORDER, orders[-1])

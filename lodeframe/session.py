@@ -72,7 +72,7 @@ class Statement:
     def execute_query(self, sql: str) -> ResultSet:
         """Rows in the order in which they were inserted."""
         try:
-            return ResultSet(self.connection, planner.plan(sql, self.connection.tx.resolve, ordered=True))
+            return ResultSet(self.connection, self.connection.tx.query(sql, ordered=True))
         except RuntimeError:
             self.connection.rollback()
             raise
@@ -101,7 +101,11 @@ class ResultSet:
         self._row: Row | None = None
 
     def next(self) -> bool:
-        self._row = next(self._rows, None)
+        try:
+            self._row = next(self._rows, None)
+        except BaseException:
+            self._connection.rollback()
+            raise
         return self._row is not None
 
     def _get(self, field: str, kind: type[T.DataType]):  # noqa: ANN202

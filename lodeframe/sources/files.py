@@ -54,5 +54,9 @@ class Files:
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 
+    def size(self, names: list[str]) -> int:
+        """Bytes under some folders."""
+        return sum(self._fs.getContentSummary(self._path(n)).getLength() for n in names)
+
     def list(self, name: str = "") -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(name))) if self.exists(name) else []

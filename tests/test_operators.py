@@ -10,13 +10,13 @@ from lodeframe.plans import estimate
 from lodeframe.plans.ast import Term, column, constant
 from lodeframe.plans.predicate import Predicate
 
-STUDENTS = [(1, "joe", 10, 2004), (2, "amy", 20, 2004), (3, "max", 10, 2005), (4, "sue", 20, 2005), (5, "bob", 30, 2003), (6, "kim", 20, 2001), (7, "art", 30, 2004), (8, "pat", 20, 2001), (9, "lee", 10, 2004)]
-DEPTS = [(10, "cs"), (20, "math"), (40, "art")]
+MEMBERS = [(1, "ada", 10, 1984), (2, "ben", 20, 1984), (3, "cyd", 10, 1985), (4, "dov", 20, 1985), (5, "eli", 30, 1983), (6, "fay", 20, 1971), (7, "gus", 30, 1984), (8, "hal", 20, 1971), (9, "ivy", 10, 1984)]
+DEPTS = [(10, "cs"), (20, "math"), (40, "gus")]
 
 
 @pytest.fixture(scope="module")
-def student(spark):
-    return spark.createDataFrame(STUDENTS, "sid int, sname string, majorid int, gradyear int")
+def member(spark):
+    return spark.createDataFrame(MEMBERS, "mid int, mname string, team int, joined int")
 
 
 @pytest.fixture(scope="module")
@@ -32,23 +32,23 @@ def plan_of(df):
     return df._jdf.queryExecution().toString()
 
 
-def test_project(student):
-    assert project(student, ["sname", "sid", "sname"]).columns == ["sname", "sid"]
-    assert project(student, ["gradyear"]).count() == 9
+def test_project(member):
+    assert project(member, ["mname", "mid", "mname"]).columns == ["mname", "mid"]
+    assert project(member, ["joined"]).count() == 9
     with pytest.raises(UnknownNameError):
-        project(student, ["x"])
+        project(member, ["x"])
 
 
-def test_select(student):
+def test_select(member):
     eq = lambda a, b: [Term(column(a), constant(b))]
-    assert rows(project(select(student, eq("gradyear", 2001)), ["sname"])) == [("kim",), ("pat",)]
-    assert select(student, eq("sname", 5)).count() == 0
-    assert select(student, eq("gradyear", "2001")).count() == 0
-    assert select(student, [Term(constant(1), constant(1))]).count() == 9
-    assert select(student, [Term(constant(1), constant(2))]).count() == 0
-    assert select(student, []).count() == 9
+    assert rows(project(select(member, eq("joined", 1971)), ["mname"])) == [("fay",), ("hal",)]
+    assert select(member, eq("mname", 5)).count() == 0
+    assert select(member, eq("joined", "1971")).count() == 0
+    assert select(member, [Term(constant(1), constant(1))]).count() == 9
+    assert select(member, [Term(constant(1), constant(2))]).count() == 0
+    assert select(member, []).count() == 9
     with pytest.raises(UnknownNameError):
-        select(student, eq("x", 1))
+        select(member, eq("x", 1))
 
 
 def test_unknown_is_false(spark):
@@ -57,60 +57,60 @@ def test_unknown_is_false(spark):
     assert df.filter(p.column(df.schema)).count() == 1 and df.filter(~p.column(df.schema)).count() == 1
 
 
-def test_product_left_wins(student, spark):
-    other = spark.createDataFrame([(100, "x"), (200, "y")], "sid int, z string")
-    out = product(student, other)
-    assert out.columns == ["sid", "sname", "majorid", "gradyear", "z"] and out.count() == 18
-    assert {r.sid for r in out.collect()} == set(range(1, 10))
-    assert product(student, student).count() == 81
-    assert product(student.where("sid < 0"), other).count() == 0
-    assert rows(block_product(student, other)) == rows(out)
-    assert "CartesianProduct" in plan_of(block_product(student, other))
+def test_product_left_wins(member, spark):
+    other = spark.createDataFrame([(100, "x"), (200, "y")], "mid int, z string")
+    out = product(member, other)
+    assert out.columns == ["mid", "mname", "team", "joined", "z"] and out.count() == 18
+    assert {r.mid for r in out.collect()} == set(range(1, 10))
+    assert product(member, member).count() == 81
+    assert product(member.where("mid < 0"), other).count() == 0
+    assert rows(block_product(member, other)) == rows(out)
+    assert "CartesianProduct" in plan_of(block_product(member, other))
 
 
-def test_joins(student, dept):
-    want = sorted((s, n, m, g, dict(DEPTS)[m]) for s, n, m, g in STUDENTS if m in dict(DEPTS))
+def test_joins(member, dept):
+    want = sorted((s, n, m, g, dict(DEPTS)[m]) for s, n, m, g in MEMBERS if m in dict(DEPTS))
     for join in (merge_join, index_join):
-        out = join(student, dept, "majorid", "did")
-        assert rows(project(out, ["sid", "sname", "majorid", "gradyear", "dname"])) == want
-    assert "SortMergeJoin" in plan_of(merge_join(student, dept, "majorid", "did"))
-    assert merge_join(student, dept, "majorid", "dname").count() == 0  # a number is no text
-    same = dept.withColumnRenamed("did", "majorid").withColumnRenamed("dname", "sname")
-    assert rows(merge_join(student, same, "majorid", "majorid")) == sorted(r for r in STUDENTS if r[2] in dict(DEPTS))
+        out = join(member, dept, "team", "did")
+        assert rows(project(out, ["mid", "mname", "team", "joined", "dname"])) == want
+    assert "SortMergeJoin" in plan_of(merge_join(member, dept, "team", "did"))
+    assert merge_join(member, dept, "team", "dname").count() == 0  # a number is no text
+    same = dept.withColumnRenamed("did", "team").withColumnRenamed("dname", "mname")
+    assert rows(merge_join(member, same, "team", "team")) == sorted(r for r in MEMBERS if r[2] in dict(DEPTS))
 
 
-def test_join_of_selected_product_is_a_hash_or_merge_join(student, dept):
-    out = select(product(student, dept), [Term(column("majorid"), column("did"))])
+def test_join_of_selected_product_is_a_hash_or_merge_join(member, dept):
+    out = select(product(member, dept), [Term(column("team"), column("did"))])
     assert out.count() == 7 and "Cartesian" not in plan_of(out) and "NestedLoop" not in plan_of(out)
 
 
-def test_index_select_reaches_the_scan(student, spark, tmp_path):
-    student.write.parquet(str(tmp_path / "s"))
-    out = index_select(spark.read.parquet(str(tmp_path / "s")), "majorid", 20)
-    assert out.count() == 4 and "EqualTo(majorid,20)" in plan_of(out)
+def test_index_select_reaches_the_scan(member, spark, tmp_path):
+    member.write.parquet(str(tmp_path / "s"))
+    out = index_select(spark.read.parquet(str(tmp_path / "s")), "team", 20)
+    assert out.count() == 4 and "EqualTo(team,20)" in plan_of(out)
 
 
-def test_chunks(student, spark, tmp_path):
-    student.repartition(3).write.parquet(str(tmp_path / "s"))
+def test_chunks(member, spark, tmp_path):
+    member.repartition(3).write.parquet(str(tmp_path / "s"))
     files = sorted(str(p) for p in (tmp_path / "s").glob("part*"))
     assert chunk_scan(spark, files, 0, 0).count() + chunk_scan(spark, files, 1, len(files) - 1).count() == 9
 
 
-def test_sort(student):
-    assert [r.sname for r in sort(student, ["gradyear", "sname"]).collect()] == ["kim", "pat", "bob", "amy", "art", "joe", "lee", "max", "sue"]
-    assert sort(student.where("sid < 0"), ["sid"]).collect() == []
+def test_sort(member):
+    assert [r.mname for r in sort(member, ["joined", "mname"]).collect()] == ["fay", "hal", "eli", "ada", "ben", "gus", "ivy", "cyd", "dov"]
+    assert sort(member.where("mid < 0"), ["mid"]).collect() == []
 
 
-def test_group(student):
-    assert rows(group_by(student, ["majorid"], [Count("sid"), Max("gradyear")])) == [(10, 3, 2005), (20, 4, 2005), (30, 2, 2004)]
-    out = group_by(student, ["majorid"], [Max("sname")])
-    assert rows(out) == [(10, "max"), (20, "sue"), (30, "bob")] and out.columns == ["majorid", "maxofsname"]
-    assert rows(group_by(student, ["majorid"])) == [(10,), (20,), (30,)]
-    assert rows(group_by(student, [], [Count("sid"), Max("sid")])) == [(9, 9)]
-    none = student.where("sid < 0")
-    assert group_by(none, [], [Count("sid"), Max("sid")]).count() == 0
-    assert group_by(none, ["majorid"], [Count("sid")]).count() == 0
-    assert "partial_count" in plan_of(group_by(student, ["majorid"], [Count("sid")]))
+def test_group(member):
+    assert rows(group_by(member, ["team"], [Count("mid"), Max("joined")])) == [(10, 3, 1985), (20, 4, 1985), (30, 2, 1984)]
+    out = group_by(member, ["team"], [Max("mname")])
+    assert rows(out) == [(10, "ivy"), (20, "hal"), (30, "gus")] and out.columns == ["team", "maxofmname"]
+    assert rows(group_by(member, ["team"])) == [(10,), (20,), (30,)]
+    assert rows(group_by(member, [], [Count("mid"), Max("mid")])) == [(9, 9)]
+    none = member.where("mid < 0")
+    assert group_by(none, [], [Count("mid"), Max("mid")]).count() == 0
+    assert group_by(none, ["team"], [Count("mid")]).count() == 0
+    assert "partial_count" in plan_of(group_by(member, ["team"], [Count("mid")]))
 
 
 def test_count_counts_rows(spark):
@@ -118,15 +118,15 @@ def test_count_counts_rows(spark):
     assert rows(group_by(df, ["k"], [Count("v")])) == [(1, 2)]
 
 
-def test_fold(student):
-    longest = Fold("sname", "years", T.LongType(), lambda v: 1, lambda s, v: s + 1, lambda s: 10 * s)
-    assert rows(group_by(student, ["majorid"], [longest, Count("sid"), Max("gradyear")])) == [(10, 30, 3, 2005), (20, 40, 4, 2005), (30, 20, 2, 2004)]
-    assert rows(group_by(student, [], [longest])) == [(90,)]
-    assert group_by(student.where("sid < 0"), [], [longest]).count() == 0
+def test_fold(member):
+    longest = Fold("mname", "years", T.LongType(), lambda v: 1, lambda s, v: s + 1, lambda s: 10 * s)
+    assert rows(group_by(member, ["team"], [longest, Count("mid"), Max("joined")])) == [(10, 30, 3, 1985), (20, 40, 4, 1985), (30, 20, 2, 1984)]
+    assert rows(group_by(member, [], [longest])) == [(90,)]
+    assert group_by(member.where("mid < 0"), [], [longest]).count() == 0
 
 
-def test_materialize(student):
-    out = materialize(student.where("majorid = 20"))
+def test_materialize(member):
+    out = materialize(member.where("team = 20"))
     assert out.count() == 4 and "ExistingRDD" in plan_of(out)
 
 
@@ -157,13 +157,15 @@ def test_estimates():
     assert estimate.materialize(a, 60).blocks == 135
     assert estimate.block_product(a, b, 15, 5).blocks == 15 + 150 * 3
     assert (estimate.best_root(8, 100), estimate.best_factor(8, 100), estimate.btree_search(100, 10)) == (5, 8, 3)
+    assert [estimate.best_root(a, 100) for a in (0, 1, 2, 3, 9, 10, 11, 1000)] == [1, 1, 2, 3, 5, 10, 10, 10]
+    assert [estimate.best_root(8, n) for n in (0, 1, 2, 6, 64, 65)] == [0, 1, 2, 3, 8, 5]
 
 
-def test_stateless_operators_take_streams(student, spark, tmp_path):
-    student.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(student.schema).parquet(str(tmp_path / "in"))
-    out = project(select(stream, [Term(column("gradyear"), constant(2001))]), ["sname"])
+def test_stateless_operators_take_streams(member, spark, tmp_path):
+    member.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(member.schema).parquet(str(tmp_path / "in"))
+    out = project(select(stream, [Term(column("joined"), constant(1971))]), ["mname"])
     q = out.writeStream.format("memory").queryName("early").option("checkpointLocation", str(tmp_path / "ck")).start()
     q.processAllAvailable()
     q.stop()
-    assert rows(spark.table("early")) == [("kim",), ("pat",)]
+    assert rows(spark.table("early")) == [("fay",), ("hal",)]

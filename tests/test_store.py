@@ -7,15 +7,15 @@ from lodeframe.plans.parser import parse
 from lodeframe.session import Engine, connect
 from lodeframe.sources import Store
 
-from .test_operators import STUDENTS
+from .test_operators import MEMBERS
 
 
 @pytest.fixture
 def engine(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "db"))
-    assert e.execute("create table STUDENT (SId int, SName varchar(10), MajorId int, GradYear int)") == 0
-    for r in STUDENTS:
-        assert e.execute("insert into STUDENT (SId, SName, MajorId, GradYear) values (%d, '%s', %d, %d)" % r) == 1
+    assert e.execute("create table MEMBER (MId int, MName varchar(10), Team int, Joined int)") == 0
+    for r in MEMBERS:
+        assert e.execute("insert into MEMBER (MId, MName, Team, Joined) values (%d, '%s', %d, %d)" % r) == 1
     return e
 
 
@@ -31,30 +31,30 @@ def cursor(connection, sql, *fields):
     return out
 
 
-BOTH = ("sname", "string"), ("GradYear", "int")
+BOTH = ("mname", "string"), ("Joined", "int")
 
 
 def test_client(engine, spark):
     c = connect(spark, engine.store.files.root)
-    assert cursor(c, "select sname, gradyear from student where gradyear = 2001", *BOTH) == [("kim", 2001), ("pat", 2001)]
-    assert cursor(c, "select sname, gradyear from student where gradyear = 2004", *BOTH) == [(x, 2004) for x in ("joe", "amy", "art", "lee")]
-    assert c.create_statement().execute_update("delete from STUDENT where gradyear = 2004") == 4
-    assert cursor(c, "select sname, gradyear from student where gradyear = 2004", *BOTH) == []
-    meta = c.create_statement().execute_query("select sid, sname from student").get_meta_data()
-    assert [(meta.get_column_name(i), meta.get_column_type(i), meta.get_column_display_size(i)) for i in (1, 2)] == [("sid", 4, 6), ("sname", 12, 10)]
+    assert cursor(c, "select mname, joined from member where joined = 1971", *BOTH) == [("fay", 1971), ("hal", 1971)]
+    assert cursor(c, "select mname, joined from member where joined = 1984", *BOTH) == [(x, 1984) for x in ("ada", "ben", "gus", "ivy")]
+    assert c.create_statement().execute_update("delete from MEMBER where joined = 1984") == 4
+    assert cursor(c, "select mname, joined from member where joined = 1984", *BOTH) == []
+    meta = c.create_statement().execute_query("select mid, mname from member").get_meta_data()
+    assert [(meta.get_column_name(i), meta.get_column_type(i), meta.get_column_display_size(i)) for i in (1, 2)] == [("mid", 4, 6), ("mname", 12, 10)]
     assert meta.get_column_count() == 2
     with pytest.raises(UnknownNameError):
         meta.get_column_name(0)
-    rs = c.create_statement().execute_query("select sid from student")
+    rs = c.create_statement().execute_query("select mid from member")
     with pytest.raises(BadValueError):
-        rs.get_int("sid")
+        rs.get_int("mid")
     assert rs.next()
     with pytest.raises(BadValueError):
-        rs.get_string("sid")
+        rs.get_string("mid")
     with pytest.raises(UnknownNameError):
-        rs.get_int("sname")
+        rs.get_int("mname")
     with pytest.raises(BadSyntaxError):
-        c.create_statement().execute_update("select sid from student")
+        c.create_statement().execute_update("select mid from member")
     c.close()
 
 
@@ -62,40 +62,40 @@ def test_client(engine, spark):
 def test_changes(engine, stored):
     if stored:  # rows in segments instead of the manifest
         engine.store.inline_rows = 0
-        engine.execute("insert into student (sid) values (10)")
-        engine.execute("delete from student where sid = 10")
-    assert engine.execute("update student set sname = 'new' where majorid = 30") == 2
-    assert engine.execute("update student set gradyear = majorid where sid = 1") == 1
-    assert engine.execute("update student set gradyear = sid where sid = 'x'") == 0
-    assert engine.execute("delete from student where majorid = 20") == 4
-    assert rows(engine.query("select sid, sname, gradyear from student")) == [(1, "joe", 10), (3, "max", 2005), (5, "new", 2003), (7, "new", 2004), (9, "lee", 2004)]
-    assert engine.execute("insert into student (sname) values ('x')") == 1
-    assert rows(engine.query("select sid, sname, majorid from student where sname = 'x'")) == [(0, "x", 0)]
-    assert engine.store.begin().statistics("student") == (6, 3)
-    assert engine.execute("delete from student") == 6
-    assert engine.query("select sid from student").count() == 0
+        engine.execute("insert into member (mid) values (10)")
+        engine.execute("delete from member where mid = 10")
+    assert engine.execute("update member set mname = 'new' where team = 30") == 2
+    assert engine.execute("update member set joined = team where mid = 1") == 1
+    assert engine.execute("update member set joined = mid where mid = 'x'") == 0
+    assert engine.execute("delete from member where team = 20") == 4
+    assert rows(engine.query("select mid, mname, joined from member")) == [(1, "ada", 10), (3, "cyd", 1985), (5, "new", 1983), (7, "new", 1984), (9, "ivy", 1984)]
+    assert engine.execute("insert into member (mname) values ('x')") == 1
+    assert rows(engine.query("select mid, mname, team from member where mname = 'x'")) == [(0, "x", 0)]
+    assert engine.store.begin().statistics("member") == (6, 3)
+    assert engine.execute("delete from member") == 6
+    assert engine.query("select mid from member").count() == 0
     assert engine.store.recover() is not None
 
 
 @pytest.mark.parametrize(
     "sql, error",
     [
-        ("insert into student (sname) values ('longer than ten')", BadValueError),
-        ("insert into student (sid) values (2147483648)", BadValueError),
-        ("insert into student (sid) values ('x')", BadValueError),
-        ("insert into student (x) values (1)", UnknownNameError),
+        ("insert into member (mname) values ('longer than ten')", BadValueError),
+        ("insert into member (mid) values (2147483648)", BadValueError),
+        ("insert into member (mid) values ('x')", BadValueError),
+        ("insert into member (x) values (1)", UnknownNameError),
         ("insert into nothing (x) values (1)", UnknownNameError),
-        ("update student set sname = 5", BadValueError),
-        ("update student set sname = 'longer than ten'", BadValueError),
-        ("update student set sname = sid", BadValueError),
-        ("update student set x = 1", UnknownNameError),
-        ("delete from student where x = 1", UnknownNameError),
-        ("create table student (a int)", DuplicateNameError),
+        ("update member set mname = 5", BadValueError),
+        ("update member set mname = 'longer than ten'", BadValueError),
+        ("update member set mname = mid", BadValueError),
+        ("update member set x = 1", UnknownNameError),
+        ("delete from member where x = 1", UnknownNameError),
+        ("create table member (a int)", DuplicateNameError),
         ("create table t (a int, a int)", DuplicateNameError),
-        ("create view tblcat as select sid from student", DuplicateNameError),
-        ("create view v as select x from student", UnknownNameError),
+        ("create view tblcat as select mid from member", DuplicateNameError),
+        ("create view v as select x from member", UnknownNameError),
         ("create view v as select a from v", UnknownNameError),
-        ("create index i on student (x)", UnknownNameError),
+        ("create index i on member (x)", UnknownNameError),
     ],
 )
 def test_errors_change_nothing(engine, sql, error):
@@ -106,59 +106,130 @@ def test_errors_change_nothing(engine, sql, error):
 
 
 def test_views_and_catalog(engine):
-    engine.execute("create view math as select sid, sname, gradyear from student where majorid = 20")
-    engine.execute("create view early as select sname from math where gradyear = 2001")
-    engine.execute("create index student_name_idx on student (sname)")
-    assert rows(engine.query("select sname from early")) == [("kim",), ("pat",)]
-    assert engine.execute("delete from student where sname = 'kim'") == 1
-    assert rows(engine.query("select sname from early")) == [("pat",)]
+    engine.execute("create view math as select mid, mname, joined from member where team = 20")
+    engine.execute("create view early as select mname from math where joined = 1971")
+    engine.execute("create index member_name_idx on member (mname)")
+    assert rows(engine.query("select mname from early")) == [("fay",), ("hal",)]
+    assert engine.execute("delete from member where mname = 'fay'") == 1
+    assert rows(engine.query("select mname from early")) == [("hal",)]
     with pytest.raises(UnknownNameError):
         engine.execute("delete from early")
-    assert rows(engine.query("select tblname, reclength from tblcat")) == [("student", 56)]
-    assert rows(engine.query("select fldname, type, length, offset from fldcat where tblname = 'student'")) == [("gradyear", 4, 0, 52), ("majorid", 4, 0, 48), ("sid", 4, 0, 0), ("sname", 12, 10, 4)]
-    assert rows(engine.query("select viewdef from viewcat where viewname = 'early'")) == [("select sname from math where gradyear = 2001",)]
-    assert rows(engine.query("select indexname, tablename, fieldname from idxcat")) == [("student_name_idx", "student", "sname")]
-    assert engine.store.begin().indexes("student") == {"sname": "student_name_idx"}
+    assert rows(engine.query("select tblname, reclength from tblcat")) == [("member", 56)]
+    assert rows(engine.query("select fldname, type, length, offset from fldcat where tblname = 'member'")) == [("joined", 4, 0, 52), ("mid", 4, 0, 0), ("mname", 12, 10, 4), ("team", 4, 0, 48)]
+    assert rows(engine.query("select viewdef from viewcat where viewname = 'early'")) == [("select mname from math where joined = 1971",)]
+    assert rows(engine.query("select indexname, tablename, fieldname from idxcat")) == [("member_name_idx", "member", "mname")]
+    assert engine.store.begin().indexes("member") == {"mname": "member_name_idx"}
 
 
 def test_transactions(engine):
     store: Store = engine.store
     store.lock_wait = 0.2
     one, two = store.begin(), store.begin()
-    assert two.query("select sid from student").count() == 9
-    one.execute(parse("delete from student where sid = 1"))
-    assert one.query("select sid from student").count() == 8 and two.query("select sid from student").count() == 9
+    assert two.query("select mid from member").count() == 9
+    one.execute(parse("delete from member where mid = 1"))
+    assert one.query("select mid from member").count() == 8 and two.query("select mid from member").count() == 9
     with pytest.raises(LockAbortError):
-        two.execute(parse("delete from student where sid = 2"))
+        two.execute(parse("delete from member where mid = 2"))
     one.commit()
-    assert two.query("select sid from student").count() == 9  # its snapshot
+    assert two.query("select mid from member").count() == 9  # its snapshot
     with pytest.raises(LockAbortError):
-        two.execute(parse("delete from student where sid = 2"))
-    assert two.execute(parse("delete from student where sid = 2")) == 1  # a new transaction
+        two.execute(parse("delete from member where mid = 2"))
+    assert two.execute(parse("delete from member where mid = 2")) == 1  # a new transaction
     two.rollback()
-    assert engine.query("select sid from student").count() == 8
+    assert engine.query("select mid from member").count() == 8
 
 
 def test_rollback_drops_what_it_wrote(engine, spark):
     tx = engine.store.begin()
-    assert tx.load("student", spark.createDataFrame([(50, "x", 1, 2)], "sid int, sname string, majorid int, gradyear int")) == 1
+    assert tx.load("member", spark.createDataFrame([(50, "x", 1, 2)], "mid int, mname string, team int, joined int")) == 1
     assert engine.store.files.list("data")
     tx.rollback()
-    assert not engine.store.files.list("data") and engine.query("select sid from student").count() == 9
+    assert not engine.store.files.list("data") and engine.query("select mid from member").count() == 9
 
 
 def test_load_and_cluster(engine, spark):
     tx = engine.store.begin()
-    assert tx.load("student", spark.range(100, 200).selectExpr("cast(id as int) sid", "'y' sname", "cast(id % 3 as int) majorid", "0 gradyear")) == 100
-    tx.cluster("student", "majorid", segments=2)
+    assert tx.load("member", spark.range(100, 200).selectExpr("cast(id as int) mid", "'y' mname", "cast(id % 3 as int) team", "0 joined")) == 100
+    tx.cluster("member", "team", segments=2)
     tx.commit()
-    assert engine.query("select sid from student where majorid = 2").count() == 33
-    assert engine.execute("delete from student where majorid = 2") == 33
-    assert engine.store.begin().statistics("student")[0] == 76
+    assert engine.query("select mid from member where team = 2").count() == 33
+    assert engine.execute("delete from member where team = 2") == 33
+    assert engine.store.begin().statistics("member")[0] == 76
     with pytest.raises(BadValueError):
-        engine.store.begin().load("student", spark.createDataFrame([("a", "b", 1, 2)], "sid string, sname string, majorid int, gradyear int"))
+        engine.store.begin().load("member", spark.createDataFrame([("a", "b", 1, 2)], "mid string, mname string, team int, joined int"))
+
+
+def jobs_of(spark, action):
+    """Number of Spark jobs that ``action`` runs."""
+    group = f"g{id(action)}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        action()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+@pytest.fixture
+def numbers(spark, tmp_path):
+    """A table of 8 segments by ranges of k, with an index on it."""
+    e = Engine(spark, str(tmp_path / "numbers"))
+    e.execute("create table numbers (k int, name varchar(8))")
+    tx = e.store.begin()
+    tx.load("numbers", spark.range(800).selectExpr("cast(id as int) k", "concat('n', id % 10) name"))
+    tx.cluster("numbers", "k", segments=8)
+    tx.commit()
+    e.execute("create index by_k on numbers (k)")
+    return e
+
+
+def test_an_index_leaves_segments_out(numbers):
+    tx = numbers.store.begin()
+    assert len(tx.state["tables"]["numbers"]["segments"]) == 8
+    assert len(tx.segments("numbers", {"k": 450})) == 1 and not tx.segments("numbers", {"k": 5000}) and not tx.segments("numbers", {"k": "x"})
+    assert len(tx.segments("numbers", {"name": "n1"})) == 8  # no index on it
+    found = numbers.query("select name from numbers where k = 451")
+    assert len({f.rsplit("/", 1)[0] for f in found.inputFiles()}) == 1 and rows(found) == [("n1",)]
+    assert numbers.query("select name from numbers where k = 5000").count() == 0
+    # through a view and a product; of two fields of a name the first table's is meant
+    numbers.execute("create view some as select k, name from numbers where k = 7")
+    assert rows(numbers.query("select name from some")) == [("n7",)]
+    numbers.execute("create table other (k int)")
+    numbers.execute("insert into other (k) values (3)")
+    assert numbers.query("select k, name from other, numbers where k = 3").count() == 800
+
+
+def test_indexes_follow_changes(numbers, spark):
+    assert numbers.execute("update numbers set k = 9000 where k = 10") == 1
+    assert rows(numbers.query("select k, name from numbers where k = 9000")) == [(9000, "n0")]
+    assert numbers.execute("delete from numbers where name = 'n3'") == 80
+    assert numbers.execute("insert into numbers (k, name) values (9000, 'more')") == 1
+    tx = numbers.store.begin()
+    tx.load("numbers", spark.createDataFrame([(9000, "load")], "k int, name string"))
+    tx.commit()
+    assert rows(numbers.query("select name from numbers where k = 9000")) == [("load",), ("more",), ("n0",)]
+    assert numbers.query("select k from numbers where k = 13").count() == 0
+    assert numbers.query("select k from numbers").count() == 722 == numbers.store.begin().statistics("numbers")[0]
+    assert numbers.execute("delete from numbers") == 722 and numbers.query("select k from numbers").count() == 0
+    assert numbers.store.recover() and numbers.store.begin().statistics("numbers") == (0, 1)
+
+
+def test_a_change_of_all_segments_takes_few_jobs(numbers, spark):
+    assert jobs_of(spark, lambda: numbers.execute("update numbers set name = 'new' where name = 'n5'")) <= 6
+    assert numbers.query("select k from numbers where name = 'new'").count() == 80
+
+
+def test_an_error_while_rows_are_pulled_rolls_back(engine, spark):
+    c = connect(spark, engine.store.files.root)
+    rs = c.create_statement().execute_query("select mid from member")
+    rs._rows = (1 // 0 for _ in range(1))
+    c.tx.execute(parse("delete from member where mid = 1"))
+    with pytest.raises(ZeroDivisionError):
+        rs.next()
+    c.close()
+    assert engine.query("select mid from member").count() == 9
 
 
 def test_lost_segments_are_recovered(engine, spark):
     spark.range(3).write.parquet(f"{engine.store.files.root}/data/abc123")
-    assert engine.store.recover() == ["data/abc123"] and engine.query("select sid from student").count() == 9
+    assert engine.store.recover() == ["data/abc123"] and engine.query("select mid from member").count() == 9
