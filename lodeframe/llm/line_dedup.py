@@ -99,31 +99,32 @@ def repeated_units(docs: DataFrame, scratch: Scratch, units: Units) -> DataFrame
 
 
 def _join_back(docs: DataFrame, scratch: Scratch, units: Units) -> DataFrame:
-    """The documents' rows and, as a last column, an array of (k, digest), null where nothing goes."""
+    """The documents' rows and, as a last column, the number and digest of each unit that goes as one string, null where nothing goes."""
     key, last = unused("id", docs.columns), unused("gone", docs.columns)
-    gone = repeated_units(docs, scratch, units).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("k", "digest")).alias(last))
+    gone = repeated_units(docs, scratch, units).groupBy(F.col("doc_id").alias(key)).agg(F.array_join(F.collect_set(F.concat_ws(":", "k", F.hex("digest"))), ",").alias(last))
     scratch.keep("members", "differ")
     # Merge joins at every size: no side here has a bound, and the plan for much data is the plan for little.
     return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone[key]), "left").drop(key)
 
 
-def _cut(text: str | None, gone: list | None, units: Units) -> tuple[list[str], list[tuple[int, int]]]:
-    """The lines left and the line spans removed, overlapping ones as one; a unit goes only where number and digest both fit."""
-    lines = (text or "").split("\n")
+def _cut(text: str | None, gone: str | None, units: Units) -> tuple[str, list[tuple[int, int]]]:
+    """The text left and the line spans removed, overlapping ones as one; a unit goes only where number and digest both fit."""
     if not gone:
-        return lines, []
-    wanted = {(g["k"], bytes(g["digest"])) for g in gone}
+        return text or "", []
+    wanted = set(gone.split(","))
     spans: list[tuple[int, int]] = []
     for k, a, b, digest, _ in _digests(text, units):
-        if (k, digest) in wanted:
+        if f"{k}:{digest.hex().upper()}" in wanted:
             if spans and a < spans[-1][1]:
                 a = spans.pop()[0]
             spans.append((a, b))
-    left, done = [], 0
+    if not spans:
+        return text or "", []
+    lines, left, done = (text or "").split("\n"), [], 0
     for a, b in spans:
         left += lines[done:a]
         done = b
-    return left + lines[done:], spans
+    return "\n".join(left + lines[done:]), spans
 
 
 def deduplicate(docs: DataFrame, units: Units = chunks) -> DataFrame:
@@ -142,9 +143,8 @@ def deduplicate(docs: DataFrame, units: Units = chunks) -> DataFrame:
 
     def report(rows: list) -> Iterator[tuple]:
         for doc_id, text, gone in rows:
-            left, spans = _cut(text, gone, units)
-            kept = "\n".join(left) if spans else text or ""
-            yield doc_id, len((text or "").split("\n")), sum(b - a for a, b in spans), ",".join(f"{a}:{b}" for a, b in spans), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), kept
+            kept, spans = _cut(text, gone, units)
+            yield doc_id, 1 + (text or "").count("\n"), sum(b - a for a, b in spans), ",".join(f"{a}:{b}" for a, b in spans), hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), kept
 
     return map_rows(rows, report, f"doc_id {kind}, n_lines int, n_removed_lines int, removed_lines string, kept_sha256 string, kept_text string", flush_rows=512)
 
@@ -162,13 +162,13 @@ def clean(docs: DataFrame, units: Units = chunks) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            cut = [_cut(t, g, units) for t, g in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)]
-            texts = ["\n".join(left) if spans else None for left, spans in cut]
-            old = batch.column(at).to_pylist()
-            new = pa.array([o if n is None else n for o, n in zip(old, texts, strict=True)], batch.schema.field(at).type)
+            new, stays = [], []
+            for text, gone in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                left, spans = _cut(text, gone, units)
+                new.append(left if spans else text)
+                stays.append(not spans or bool(left.strip("\n")))
             columns = [*batch.columns[: len(names)]]
-            columns[at] = new
-            stays = pa.array([n is None or bool(n.strip("\n")) for n in texts], pa.bool_())
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(stays)
+            columns[at] = pa.array(new, batch.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stays, pa.bool_()))
 
     return rows.mapInArrow(run, docs.schema)
