@@ -135,15 +135,13 @@ def report(docs: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that are kept, all columns as they were.
 
-    Verdicts are on texts and hosts, so they travel with the row: counts are
-    made twice, once to find the hosts' rates and once in the row itself, and
-    only host names and rates meet in a join.
+    The counts are made once: a row that passes its own rules is stored with its
+    host, and one that fails as its host alone, so verdicts need no ids and
+    texts that go anyway aren't stored.  Only host names and rates meet in a join.
     """
     names = docs.columns
     at = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in names])).select("__row", *[F.col(f"`{c}`") for c in ("doc_id", "text")], F.col("source").cast("string").alias("host"))
     counts = features(at, "host", "__row").withColumn("failed", base_failed(limits) | (soft_failures(limits) >= limits.soft_failures))
-    hosts = shrunk_rates(Scratch(docs.sparkSession, "quality").write(counts.select("host", "failed"), "failed"), limits)
-    bad = hosts.where(F.col("host_rate") > limits.host_rate).select(F.col("host").alias("__host"))
-    # The row number is a barrier: without it the filter is pushed below the counts, and each use of an array makes it anew.
-    counts = counts.withColumn("__nth", F.monotonically_increasing_id()).where(~F.col("failed") & (F.col("__nth") >= 0))
-    return counts.select("host", "__row").join(bad, F.col("host").eqNullSafe(F.col("__host")), "left_anti").select("__row.*")
+    judged = Scratch(docs.sparkSession, "quality").write(counts.select("host", "failed", F.when(~F.col("failed"), F.col("__row")).alias("__row")), "judged")
+    bad = shrunk_rates(judged.select("host", "failed"), limits).where(F.col("host_rate") > limits.host_rate).select(F.col("host").alias("__host"))
+    return judged.where(~F.col("failed")).join(bad, F.col("host").eqNullSafe(F.col("__host")), "left_anti").select("__row.*")
