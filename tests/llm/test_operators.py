@@ -161,6 +161,11 @@ def test_quality_is_native(odd):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_quality_clean_makes_counts_once(odd):
+    plan = quality_rules.clean(odd)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow|regexp_extract_all", plan)  # the stored rows are read, no text is counted again
+
+
 # --- 3 ------------------------------------------------------------------------
 
 
