@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of two lines or more that occur earlier are cut out; a document with nothing left goes."""
-    return line_dedup.clean(docs, line_dedup.windows)
+    """Passages of two lines or more that occur earlier are cut out, by chunks and then by what chunks leave; a document with nothing left goes."""
+    return line_dedup.clean(docs, line_dedup.chunks, whole=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,11 @@ passages in different documents mostly fall into equal chunks.
 
 Units of several lines that occur again anywhere in the corpus go, all but the
 first, once their bytes were compared.
+
+Whole (``clean``): chunks come first, and a chunk that occurs earlier settles the
+windows within it.  Only the other windows, those of first chunks and those
+across chunk ends, are searched one by one.  What goes is what windows alone
+would cut.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ from .common import Scratch, map_rows, unused
 MASK = (1 << 64) - 1
 #: The odd multiplier of the rolling hash, and lines that it spans.
 MULTIPLIER, SPAN = 0x9E3779B97F4A7C15, 2
+#: Bytes of a unit's digest.
+DIGEST = 16
 
 Units = Callable[[str], list[tuple[int, int]]]
 
@@ -66,20 +73,80 @@ def _digests(text: str | None, units: Units, min_lines: int = 2) -> Iterator[tup
                 yield k, a, b, xxhash.xxh3_128_digest(content.encode("utf-8", "surrogatepass")), content
 
 
-def repeated_units(docs: DataFrame, scratch: Scratch, units: Units) -> DataFrame:
-    """(doc_id, k, digest) of the units to remove: those that a byte-equal unit precedes."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", "text")
+def _split(text: str | None, units: Units) -> Iterator[tuple[int, bool, bytes]]:
+    """(first line, whether within a unit, digests of its windows) of each unit and of each window across a unit's end.
+
+    The units adjoin.  Windows of nothing but line feeds are left out; one within a unit parts it.
+    """
+    digests = {k: digest for k, _, _, digest, _ in _digests(text, windows)}
+    for a, b in units(text) if digests else ():
+        run = b""
+        for k in range(a, b):
+            if k < b - 1 and k in digests:
+                run += digests[k]
+            elif run:
+                yield k - len(run) // DIGEST, True, run
+                run = b""
+        if b - 1 in digests:
+            yield b - 1, False, digests[b - 1]
+
+
+def _firsts(made: DataFrame, key: str) -> DataFrame:
+    """The place of the first occurrence of each key that occurs again."""
+    return made.groupBy(key).agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+
+
+def _each_window(made: DataFrame) -> DataFrame:
+    """A row for each window of a row of several, with its own place and, if there is one, its own first place."""
+    i = F.col("i")
+    rows = made.withColumn("i", F.explode(F.sequence(F.lit(0), (F.length("digests") / DIGEST).cast("int") - 1)))
+    first = F.when(F.col("first").isNotNull(), F.struct(F.col("first.doc_id").alias("doc_id"), (F.col("first.k") + i).alias("k")))
+    return rows.select(F.substring("digests", i * DIGEST + 1, F.lit(DIGEST)).alias("digest"), "doc_id", (F.col("k") + i).alias("k"), first.alias("first"))
+
+
+def _unit_members(texts: DataFrame, scratch: Scratch, units: Units) -> DataFrame:
+    """(digest, doc_id, k, first place) of each unit whose digest occurs again."""
 
     def number(rows: list) -> Iterator[tuple]:
         for doc_id, text in rows:
             for k, _, _, digest, _ in _digests(text, units):
                 yield doc_id, k, digest
 
+    kind = texts.schema["doc_id"].dataType.simpleString()
     made = scratch.write(map_rows(texts, number, f"doc_id {kind}, k int, digest binary"), "units")
-    first = made.groupBy("digest").agg(F.min(F.struct("doc_id", "k")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    first = scratch.write(first, "first")  # stored, so that the join can split a frequent digest
-    members = scratch.write(made.join(first.hint("merge"), "digest"), "members")
+    first = scratch.write(_firsts(made, "digest"), "first")  # stored, so that the join can split a frequent digest
+    return made.join(first.hint("merge"), "digest")
+
+
+def _window_members(texts: DataFrame, scratch: Scratch, units: Units) -> DataFrame:
+    """(digest, doc_id, k, first place) of each window whose digest occurs again, the later ones of a unit's found by the unit.
+
+    Equal units are equal window by window, so those of a later unit need no
+    search.  The first unit and all that lies across ends are searched as windows.
+    """
+
+    def number(rows: list) -> Iterator[tuple]:
+        for doc_id, text in rows:
+            for k, within, digests in _split(text, units):
+                yield doc_id, k, within, digests
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    made = scratch.write(map_rows(texts, number, f"doc_id {kind}, k int, within boolean, digests binary"), "units")
+    within = made.where("within").drop("within")
+    first = scratch.write(_firsts(within, "digests"), "unit-first")  # stored, as below
+    placed = scratch.write(within.join(first.hint("merge"), "digests", "left"), "placed")
+    later = F.col("first").isNotNull() & ~F.struct("doc_id", "k").eqNullSafe(F.col("first"))
+    across = made.where("not within").select(F.col("digests").alias("digest"), "doc_id", "k")
+    rest = _each_window(placed.where(~later)).drop("first").unionByName(across)
+    first = scratch.write(_firsts(rest, "digest"), "first")
+    return rest.join(first.hint("merge"), "digest").unionByName(_each_window(placed.where("first is not null")))
+
+
+def repeated_units(docs: DataFrame, scratch: Scratch, units: Units, whole: bool = False) -> DataFrame:
+    """(doc_id, k, digest) of the units to remove: those that a byte-equal unit precedes; if ``whole``, of windows."""
+    texts = docs.select("doc_id", "text")
+    members = scratch.write((_window_members if whole else _unit_members)(texts, scratch, units), "members")
+    units = windows if whole else units
 
     # Byte comparison: the least and the greatest content under a digest are the same, or the digest is not used.
     wanted = members.groupBy("doc_id").agg(F.collect_set("k").alias("ks"))
@@ -98,10 +165,10 @@ def repeated_units(docs: DataFrame, scratch: Scratch, units: Units) -> DataFrame
     return out.select("doc_id", "k", "digest")
 
 
-def _join_back(docs: DataFrame, scratch: Scratch, units: Units) -> DataFrame:
+def _join_back(docs: DataFrame, scratch: Scratch, units: Units, whole: bool = False) -> DataFrame:
     """The documents' rows and, as a last column, the number and digest of each unit that goes as one string, null where nothing goes."""
     key, last = unused("id", docs.columns), unused("gone", docs.columns)
-    gone = repeated_units(docs, scratch, units).groupBy(F.col("doc_id").alias(key)).agg(F.array_join(F.collect_set(F.concat_ws(":", "k", F.hex("digest"))), ",").alias(last))
+    gone = repeated_units(docs, scratch, units, whole).groupBy(F.col("doc_id").alias(key)).agg(F.array_join(F.collect_set(F.concat_ws(":", "k", F.hex("digest"))), ",").alias(last))
     scratch.keep("members", "differ")
     # Merge joins at every size: no side here has a bound, and the plan for much data is the plan for little.
     return docs.join(gone.hint("merge"), docs["doc_id"].eqNullSafe(gone[key]), "left").drop(key)
@@ -149,14 +216,17 @@ def deduplicate(docs: DataFrame, units: Units = chunks) -> DataFrame:
     return map_rows(rows, report, f"doc_id {kind}, n_lines int, n_removed_lines int, removed_lines string, kept_sha256 string, kept_text string", flush_rows=512)
 
 
-def clean(docs: DataFrame, units: Units = chunks) -> DataFrame:
+def clean(docs: DataFrame, units: Units = chunks, whole: bool = False) -> DataFrame:
     """The documents with their repeated units cut out, all columns kept; a text that is cut out whole takes its row with it.
 
-    Null and empty texts stay; for the rest as ``deduplicate``.
+    If ``whole``, the repeated windows that no repeated unit holds go too; the
+    units must adjoin, as chunks do.  Null and empty texts stay; for the rest as
+    ``deduplicate``.
     """
     names = docs.columns
     at = names.index("text")
-    rows = _join_back(docs, Scratch(docs.sparkSession, "line-dedup"), units)
+    rows = _join_back(docs, Scratch(docs.sparkSession, "line-dedup"), units, whole)
+    units = windows if whole else units
 
     def run(batches):  # noqa: ANN001, ANN202
         import pyarrow as pa
